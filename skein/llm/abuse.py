@@ -32,6 +32,8 @@ A = 32
 #: At most so many rated documents of each class train the model, chosen by hash of their id.
 MAX_POSITIVE, MAX_NEGATIVE = 2500, 5000
 LANDMARKS = 700
+#: Documents that score above this are flagged; clean ones end far below 0, abusive ones far above.
+THRESHOLD = 0.2
 #: Widths in words of the runs that are scored beside whole sentences.
 WIDTHS = (3, 5, 8, 12)
 
@@ -338,7 +340,7 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
 
     out = docs.select("doc_id", clean_source(F.col("source")).alias("source"), "text").mapInPandas(run, "doc_id long, source string, score double")
     out = out.withColumn("score", F.when(~F.isnan("score"), F.col("score")))
-    return out.withColumn("flagged", F.coalesce(F.col("score") > 0, F.lit(False)))
+    return out.withColumn("flagged", F.coalesce(F.col("score") > THRESHOLD, F.lit(False)))
 
 
 def rates(scored: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import table
-from . import mixing, packing, splitting, terms
+from . import abuse, mixing, packing, parsing, splitting, terms
 
 
 def p2_pieces(spark: SparkSession, d: str) -> DataFrame:
@@ -40,8 +40,30 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return parsing.bad_files(table(spark, d, "snippet_text"), table(spark, d, "snippets")).select("repo", "file_path")
+
+
+def p3_rates(spark: SparkSession, d: str) -> DataFrame:
+    return parsing.bad_rates(table(spark, d, "snippet_text"), table(spark, d, "snippets"))
+
+
+def p8_scores(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    return abuse.score_documents(docs, abuse.fit(docs, table(spark, d, "doc_labels")))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return p8_scores(spark, d).where("flagged").select("doc_id").distinct()
+
+
+def p8_rates(spark: SparkSession, d: str) -> DataFrame:
+    return abuse.rates(p8_scores(spark, d))
+
+
 QUERIES = {
-    "p2_found": p2_found, "p2_pieces": p2_pieces, "p5_scores": p5_scores, "p5_top_terms": p5_top_terms,
+    "p2_found": p2_found, "p2_pieces": p2_pieces, "p3_found": p3_found, "p3_rates": p3_rates, "p5_scores": p5_scores, "p5_top_terms": p5_top_terms,
     "p6_containers": p6_containers, "p6_fill": p6_fill, "p7_uses": p7_uses, "p7_shares": p7_shares,
+    "p8_found": p8_found, "p8_scores": p8_scores, "p8_rates": p8_rates,
 }
 ORACLE = {**splitting.SQL, **terms.SQL}
