@@ -39,7 +39,7 @@ def p4_counts(spark: SparkSession, d: str) -> DataFrame:
 _ROWS = """
 labels as (select repo, lower(trim(version)) label, max(seq) seq from versions where version is not null group by 1, 2),
 state as (
-  select row_id, repo, lower(trim(snippet_id)) snippet_id, file_path, qualname, ordinal, kind, seq_removed, nullif(lower(trim(version_removed)), '') label_removed,
+  select row_id, repo, lower(trim(snippet_id)) snippet_id, file_path, qualname, ordinal, kind, line_start, seq_removed, nullif(lower(trim(version_removed)), '') label_removed,
          row_number() over (partition by row_id order by exported_at desc, (seq_removed is not null or nullif(trim(version_removed), '') is not null) desc, seq_removed desc nulls last) rn
   from snippets),
 fixed as (select row_id, max(lineage_id) lineage_id, max(seq_added) sa, max(nullif(lower(trim(version_added)), '')) la from snippets group by 1),

@@ -84,7 +84,7 @@ def periods(store: DataFrame, key: list[str], attrs: list[str], identity: list[s
     )
 
 
-ATTRS = ["snippet_id", "file_path", "qualname", "ordinal", "kind", "line_start", "line_end"]
+ATTRS = ["snippet_id", "repo", "file_path", "qualname", "ordinal", "kind", "line_start", "line_end"]
 PLACE = ["snippet_id", "file_path", "qualname", "ordinal"]
 KEY = ["lineage_id", "lone"]
 
@@ -102,7 +102,7 @@ def snippet_events(snippets: DataFrame, versions: DataFrame) -> DataFrame:
         "row_id", "repo", "lineage_id", "exported_at", clean_id(F.col("snippet_id")).alias("snippet_id"), "file_path", "qualname", "ordinal", "kind", "line_start", "line_end",
         "seq_added", "seq_removed", clean_label(F.col("version_added")).alias("label_added"), clean_label(F.col("version_removed")).alias("label_removed"),
     )
-    state = F.struct(*ATTRS, "seq_removed", "label_removed")
+    state = F.struct(*[a for a in ATTRS if a != "repo"], "seq_removed", "label_removed")
     when = F.struct("exported_at", F.coalesce("seq_removed", F.when(F.col("label_removed").isNotNull(), 0), F.lit(-1)).alias("r"), *ATTRS)
     alone = F.when(F.col("row_id").isNull(), F.struct("repo", *PLACE))
     rows = (
