@@ -18,6 +18,7 @@ import re
 import unicodedata
 from collections import Counter
 from itertools import combinations
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -31,9 +32,11 @@ REACH = 5
 A = 32
 #: At most so many rated documents of each class train the model, chosen by hash of their id.
 MAX_POSITIVE, MAX_NEGATIVE = 2500, 5000
-LANDMARKS = 700
+LANDMARKS = 500
 #: Documents that score above this are flagged; clean ones end far below 0, abusive ones far above.
-THRESHOLD = 0.2
+THRESHOLD = 0.1
+#: In each round an abusive document's best passage must score above this to stay a positive.
+TRUST = (-9.0, -0.6, -0.2, 0.1, 0.25)
 #: Widths in words of the runs that are scored beside whole sentences.
 WIDTHS = (3, 5, 8, 12)
 
@@ -185,24 +188,51 @@ def _features(items: list[str], known: np.ndarray | None = None) -> list[tuple[n
     return out
 
 
+def spread(items: list[str], n: int, pool: int = 2500) -> list[str]:
+    """``n`` items that cover the others: each next one is that least like any chosen so far."""
+    items = items[:pool]
+    if len(items) <= n:
+        return items
+    feats = _features(items)
+    ids = np.concatenate([f for f, _ in feats])
+    wts = np.concatenate([w for _, w in feats])
+    ends = np.concatenate([[0], np.cumsum([len(f) for f, _ in feats])])
+    full = np.flatnonzero(np.diff(ends) > 0)
+    table, near, chosen = np.zeros(A**4, np.float32), np.full(len(items), -1.0, np.float32), []
+    near[np.diff(ends) == 0] = np.inf
+    nxt = int(full[0]) if len(full) else 0
+    for _ in range(n):
+        chosen.append(items[nxt])
+        f, w = feats[nxt]
+        np.add.at(table, f, w)
+        near[full] = np.maximum(near[full], np.add.reduceat(table[ids] * wts, ends[:-1][full]))
+        near[nxt] = np.inf
+        table[f] = 0
+        nxt = int(np.argmin(near))
+    return chosen
+
+
 def _svm(x: np.ndarray, y: np.ndarray, c: np.ndarray, reg: float = 1.0, steps: int = 25) -> tuple[np.ndarray, float]:
     """Squared-hinge SVM with weights ``c`` by Newton steps; the last coordinate is the bias."""
-    xb = np.concatenate([x, np.ones((len(x), 1), x.dtype)], 1).astype(np.float64)
+    xb = np.concatenate([x, np.ones((len(x), 1), x.dtype)], 1)
+    c, y = c.astype(np.float32), y.astype(np.float32)
     ridge = np.full(xb.shape[1], reg)
     ridge[-1] = 1e-3
     w = np.zeros(xb.shape[1])
 
     def loss(v):
-        m = np.maximum(0, 1 - y * (xb @ v))
+        m = np.maximum(0, 1 - y * (xb @ v.astype(np.float32)))
         return 0.5 * (ridge * v * v).sum() + 0.5 * (c * m * m).sum()
 
     now = loss(w)
     for _ in range(steps):
-        m = 1 - y * (xb @ w)
+        m = 1 - y * (xb @ w.astype(np.float32))
         act = m > 0
-        xa = xb[act]
-        g = ridge * w - xa.T @ (c[act] * y[act] * m[act])
-        h = (xa * c[act, None]).T @ xa + np.diag(ridge)
+        g = ridge * w - xb.T @ (act * c * y * m)
+        h = np.diag(ridge)
+        for a in range(0, len(xb), 4096):
+            part = xb[a : a + 4096][act[a : a + 4096]]
+            h += (part * c[a : a + 4096][act[a : a + 4096], None]).T @ part
         d = np.linalg.solve(h, g)
         t = 1.0
         while t > 1e-4 and loss(w - t * d) > now:
@@ -248,7 +278,7 @@ class _Space:
         return Model(table, bias)
 
 
-def train(texts: list[str], toxic: list[int], landmarks: int = LANDMARKS, rounds: int = 4, seed: int = 7, reg: float = 1.0, pos_weight: float = 3.0) -> Model:
+def train(texts: list[str], toxic: list[int], landmarks: int = LANDMARKS, rounds: int = 5, seed: int = 7, reg: float = 0.5, pos_weight: float = 3.0) -> Model:
     """Fit on rated documents. Without both classes the model scores everything -1."""
     y = np.asarray(toxic)
     if not len(y) or y.min() == y.max():
@@ -256,19 +286,20 @@ def train(texts: list[str], toxic: list[int], landmarks: int = LANDMARKS, rounds
     rng = np.random.default_rng(seed)
     docs = [passages(t or "") for t in texts]
     n_pos, n_neg = int((y > 0).sum()), int((y == 0).sum())
-    in_pos: Counter = Counter()
-    in_neg: Counter = Counter()
+    # documents that hold a run of words, counted by its checksum in arrays of fixed size
+    in_pos, in_neg = np.zeros(1 << 24, np.int16), np.zeros(1 << 24, np.int16)
+    at = lambda r: crc32(r.encode()) & 0xFFFFFF
     for d, t in zip(docs, y):
-        (in_pos if t else in_neg).update({r for p in d for r in runs(p)})
+        (in_pos if t else in_neg)[list({at(r) for p in d for r in runs(p)})] += 1
 
     def common(p: str) -> bool:
         """As usual in documents rated clean as in those rated abusive, so no evidence of abuse."""
-        return in_neg[p] / n_neg > 0.25 * max(1, in_pos[p]) / n_pos
+        return int(in_neg[at(p)]) / n_neg > 0.25 * max(1, int(in_pos[at(p)])) / n_pos
 
     inst = [(p, 1, 1.0 / len(d)) for d, t in zip(docs, y) if t for p in d if not common(p)]
     ns = list({p: None for d, t in zip(docs, y) if not t for p in d})
     ns = [ns[i] for i in rng.permutation(len(ns))[: max(8000, 4 * len(inst))]]
-    weigh = lambda p: min(6.0, 1.0 + 0.5 * (in_neg[p] - 1)) if in_neg[p] else 1.0
+    weigh = lambda p: min(6.0, max(1.0, 0.5 + 0.5 * int(in_neg[at(p)])))
     inst += [(p, -1, weigh(p)) for p in ns]
     hard: dict[str, float] = {}
     flat, own = [p for d in docs for p in d], np.repeat(np.arange(len(docs)), [len(d) for d in docs])
@@ -281,7 +312,7 @@ def train(texts: list[str], toxic: list[int], landmarks: int = LANDMARKS, rounds
         near = sorted(hard, key=lambda h: -hard[h])[: landmarks // 4]
         some = lambda xs, n: [xs[i] for i in rng.permutation(len(xs))[: max(0, n)]]
         half = landmarks * 6 // 10
-        space = _Space(list(dict.fromkeys(some(ps, half) + near + some(qs, landmarks - half - len(near)))))
+        space = _Space(list(dict.fromkeys(spread(some(list(dict.fromkeys(ps)), len(ps)), half) + near + some(qs, landmarks - half - len(near)))))
         c = np.array([w for _, _, w in inst])
         if r:
             c[lab > 0] *= pos_weight
@@ -295,7 +326,7 @@ def train(texts: list[str], toxic: list[int], landmarks: int = LANDMARKS, rounds
             run = p[frm[i] : to[i]]
             if y[d]:
                 # a document in which nothing scores is set aside as misrated
-                if best[d] < 1 and not common(run) and s[i] > (-9 if r == 0 else -0.6 if r == 1 else -0.3):
+                if best[d] < 1 and not common(run) and s[i] > TRUST[min(r, len(TRUST) - 1)]:
                     best[d] += 1
                     positives.append((run, 1, 1.0))
                     if run != p:
