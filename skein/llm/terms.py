@@ -7,10 +7,16 @@ fewer than ``min_df`` records are shared by nobody and score 0.
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from functools import lru_cache
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import CODE_TOKENS_SQL, code_tokens
+from ..functions.text import CAMEL, CODE_TOKENS_SQL, IDENT
+from ..session import cut
 
 MU = 200.0
 MIN_DF = 2
@@ -19,22 +25,51 @@ HOT = 200
 
 
 def term_counts(records: DataFrame, key: str, text: str) -> DataFrame:
-    """``key, dl, term, tf``: one row per record and term. Repeated keys are merged; null or empty texts have no terms."""
-    toks = records.select(key, code_tokens(F.col(text)).alias("toks"))
-    # a record lies in one partition, so its counts are complete before the shuffle
-    tf = toks.select(key, F.explode("toks").alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
-    return tf.select(key, F.sum("tf").over(Window.partitionBy(key)).alias("dl"), "term", "tf")
+    """``key, dl, terms, tfs``: one row per record with its terms and their counts. Null or empty texts have none.
+
+    A record is counted where it lies, so nothing is shuffled; identifiers that recur are split once per worker.
+    """
+
+    def run(batches):
+        for pdf in batches:
+            made = [count_terms(t) for t in pdf[text]]
+            yield pd.DataFrame({key: pdf[key], "dl": [sum(c.values()) for c in made], "terms": [list(c) for c in made], "tfs": [list(c.values()) for c in made]})
+
+    kind = records.schema[key].dataType.simpleString()
+    return records.select(key, text).mapInPandas(run, f"`{key}` {kind}, dl long, terms array<string>, tfs array<long>")
+
+
+_IDENT, _CAMEL = re.compile(IDENT), re.compile(CAMEL)
+
+
+@lru_cache(maxsize=200_000)
+def _split(word: str) -> tuple[str, ...]:
+    whole = word.lower().replace("_", "")
+    parts = _CAMEL.findall(word)
+    return ((whole,) if whole else ()) + (tuple(p.lower() for p in parts) if len(parts) > 1 else ())
+
+
+def count_terms(text: str | None) -> Counter:
+    """The same terms as ``functions.text.code_tokens``, counted."""
+    out: Counter = Counter()
+    for word, n in Counter(_IDENT.findall(text or "")).items():
+        for t in _split(word):
+            out[t] += n
+    return out
 
 
 def term_scores(records: DataFrame, key: str, text: str, mu: float = MU, min_df: int = MIN_DF) -> DataFrame:
-    """``key, term, tf, df, score`` for every record and each of its terms; statistics cover all records."""
-    tf = term_counts(records, key, text)
-    stats = tf.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
-    size = stats.agg(F.sum("cf").alias("s"), F.sum("df").alias("d")).select("s", "d")
-    total = size.select("s").scalar()
+    """``key, term, tf, df, score`` for every record and each of its terms; statistics cover all records.
+
+    Records with equal keys are scored each for itself. The counts are written once to the shared folder.
+    """
+    counted = cut(term_counts(records, key, text))
+    tf = counted.select(key, "dl", F.inline(F.arrays_zip(F.col("terms").alias("term"), F.col("tfs").alias("tf"))))
+    stats = cut(tf.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")))
+    total = stats.agg(F.sum("cf")).first()[0] or 1
     # frequent terms would put most rows into a few tasks; they are few, so they go to every task instead
-    docs = F.greatest(records.select(F.count("*")).scalar() / HOT, F.lit(50))
-    hot = F.broadcast(stats.where(F.col("df") >= docs).withColumnRenamed("term", "hot_term").select("hot_term", F.col("df").alias("hdf"), F.col("cf").alias("hcf")))
+    docs = max(counted.count() / HOT, 50)
+    hot = F.broadcast(stats.where(F.col("df") >= docs).select(F.col("term").alias("hot_term"), F.col("df").alias("hdf"), F.col("cf").alias("hcf")))
     known = tf.join(hot, F.col("term") == F.col("hot_term"), "left")
     rest = known.where("hdf is null").drop("hot_term", "hdf", "hcf").join(stats.where(F.col("df") < docs), "term")
     joined = known.where("hdf is not null").select(key, "dl", "term", "tf", F.col("hdf").alias("df"), F.col("hcf").alias("cf")).unionByName(rest.select(key, "dl", "term", "tf", "df", "cf"))
