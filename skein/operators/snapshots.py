@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from ..session import buckets_for, cut
 from ..sources.tables import clean_id, clean_path
 
+#: So many differing keys (of 44 bytes each) are broadcast at most.
+FEW = 300_000
 _OUT = "repo_h long, seq int, at_seq int, h1 long, h2 long, change string, n long"
 
 
@@ -100,7 +102,11 @@ def snapshot_diff(df: DataFrame, keys: list[str], value: str, when: str) -> tupl
     names = df.select("repo").distinct().select("repo", F.xxhash64("repo").alias("repo_h"))
     totals = found.where("change = 'total'").groupBy("repo_h", "seq").agg(F.sum("n").alias("n")).join(names, "repo_h").select("repo", "seq", "n")
     full = hashed.select("repo_h", "repo", F.col("seq").alias("at_seq"), "h1", "h2", *keys, value, "w", "v")
-    hits = full.join(found.where("change <> 'total'"), ["repo_h", "at_seq", "h1", "h2"])
+    differing = found.where("change <> 'total'").drop("n")
+    # few differing keys go to every task, so that the full rows stay where they are; many are met by a shuffle
+    if differing.limit(FEW + 1).count() <= FEW:
+        differing = F.broadcast(differing)
+    hits = full.join(differing, ["repo_h", "at_seq", "h1", "h2"])
     order = F.struct("w", F.col("v").isNotNull(), "v")
     changes = hits.groupBy("repo", "seq", *keys, "change").agg(F.max_by(value, order).alias(value))
     return changes, totals
