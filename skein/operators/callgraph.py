@@ -39,7 +39,7 @@ def callees(defs: DataFrame, calls: DataFrame, name: str) -> DataFrame:
     """What each definition of the name calls, once per callee in source order, and where that is defined."""
     mine = defs.where(F.col("kind").isin("function", "method", "class") & ((F.col("name") == short(name)) | (F.col("qualname") == name)))
     w = Window.partitionBy("caller_id", "callee_name").orderBy("call_order")
-    first = calls.join(mine.select(F.col("id").alias("caller_id"), *REF), "caller_id").withColumn("rn", F.row_number().over(w)).where("rn = 1")
+    first = calls.select("caller_id", "callee_name", "line", "call_order").join(mine.select(F.col("id").alias("caller_id"), *REF), "caller_id").withColumn("rn", F.row_number().over(w)).where("rn = 1")
     where = defs.where(F.col("kind") != "module").select(F.col("name").alias("callee_name"), F.concat_ws(":", "file_path", "line_start").alias("at"))
     where = where.join(first.select("callee_name").distinct(), "callee_name", "left_semi").groupBy("callee_name").agg(F.sort_array(F.collect_list("at")).alias("defined_in"))
     out = first.join(where, "callee_name", "left").withColumn("defined_in", F.coalesce("defined_in", F.array().cast("array<string>")))

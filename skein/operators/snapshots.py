@@ -87,10 +87,13 @@ def snapshot_diff(df: DataFrame, keys: list[str], value: str, when: str) -> tupl
     the number of keys in each snapshot. A snapshot is compared with that of the nearest earlier ``seq``. Rows
     without ``repo`` or ``seq`` belong to no snapshot. Null keys are keys like others. Repeated rows count once.
     """
-    df = df.where("repo is not null and seq is not null").select("repo", "seq", *keys, value, when)
+    # inner names, so that no column of the caller's can clash with those below
+    names_of = {f"_k{i}": k for i, k in enumerate(keys)} | {"_value": value}
+    df = df.where("repo is not null and seq is not null").select("repo", "seq", *[F.col(k).alias(x) for x, k in names_of.items()], F.col(when).alias("_when"))
+    keys, value = [x for x in names_of if x != "_value"], "_value"
     hashed = df.select(
         F.xxhash64("repo").alias("repo_h"), "repo", "seq", F.xxhash64(F.struct(*keys)).alias("h1"), F.xxhash64(F.lit("second"), F.struct(*keys)).alias("h2"),
-        *keys, value, F.when(F.col(value).isNotNull(), F.xxhash64(value)).alias("v"), F.coalesce(F.unix_micros(when), F.lit(-(1 << 62))).alias("w"),
+        *keys, value, F.when(F.col(value).isNotNull(), F.xxhash64(value)).alias("v"), F.coalesce(F.unix_micros("_when"), F.lit(-(1 << 62))).alias("w"),
     )
     w = Window.partitionBy("repo").orderBy("seq")
     index = df.select("repo", "seq").distinct().select("repo", "seq", (F.row_number().over(w) - 1).alias("idx"), F.lead("seq").over(w).alias("next_seq"))
@@ -109,7 +112,7 @@ def snapshot_diff(df: DataFrame, keys: list[str], value: str, when: str) -> tupl
     hits = full.join(differing, ["repo_h", "at_seq", "h1", "h2"])
     order = F.struct("w", F.col("v").isNotNull(), "v")
     changes = hits.groupBy("repo", "seq", *keys, "change").agg(F.max_by(value, order).alias(value))
-    return changes, totals
+    return changes.withColumnsRenamed(names_of), totals
 
 
 def file_changes(files: DataFrame) -> DataFrame:
