@@ -114,7 +114,7 @@ def _ranked(spark, d, rows, n=40):
 def lineage_search_grouped(spark: SparkSession, d: str) -> DataFrame:
     rows = lineage.between(_rows(spark, d), OLD, NEW)
     vec = table(spark, d, "snippet_text").select(clean_id(F.col("snippet_id")).alias("snippet_id"), "vector_id")
-    g = lineage.grouped_results(_ranked(spark, d, rows), rows.join(vec, "snippet_id"), 10)
+    g = lineage.grouped_results(_ranked(spark, d, rows), rows.join(vec, "snippet_id", "left"), 10)  # vacuumed texts are versions too
     return g.select("query_id", "rank", "score", "lineage_id", "n_versions", "matched_seq", "matched_snippet_id", "matched_differs")
 
 

@@ -1,72 +1,140 @@
-"""BM25 over an inverted index kept as DataFrames.
+"""BM25 over documents counted once, with statistics per term.
 
 ``idf = ln(N - df + 0.5) - ln(df + 0.5)``; a negative one becomes ``EPSILON`` times the mean idf of all terms. A term
 weighs ``idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len / avglen))`` in a document; a query's score is the sum over
 its terms, repeats counting, and only scores above 0 are results. Ties of the score rounded to six digits go by id.
+
+The idf goes to the query's terms, which are few, so documents need no join at all. Search pairs blocks of documents
+with blocks of queries and multiplies their matrices over the queries' words; only the best ``k`` of each query leave
+a pair. No term, however frequent, gathers rows anywhere.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import code_tokens
+from ..functions.text import term_counts
+from ..session import block_pairs, cut
 
 # fixed values: the usual parameters
 K1, B, EPSILON = 1.5, 0.75, 0.25
-#: Parts over which each term's postings are spread when queries meet them.
-SALTS = 8
+#: Queries in one block, and bytes of the matrix that a step of a pair may build.
+ASKED, STEP_BYTES = 64, 48 << 20
 
 
 @dataclass
 class Bm25Index:
-    """``postings``: id, term, tf, weight; ``terms``: term, df, idf; ``docs``: id, doc_len."""
+    """``docs``: id, dl, terms, tfs; ``terms``: term, df, idf; ``avg_len`` of all documents."""
 
-    postings: DataFrame
-    terms: DataFrame
     docs: DataFrame
+    terms: DataFrame
+    avg_len: float
+
+    @property
+    def postings(self) -> DataFrame:
+        """``id, term, tf, weight``: the inverted view."""
+        tf = self.docs.select("id", "dl", F.inline(F.arrays_zip(F.col("terms").alias("term"), F.col("tfs").alias("tf"))))
+        w = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(self.avg_len)))
+        return tf.join(self.terms, "term").select("id", "term", "tf", w.alias("weight"))
 
     def save(self, path: str) -> None:
-        for name in ("postings", "terms", "docs"):
-            getattr(self, name).write.mode("overwrite").parquet(f"{path}/{name}")
+        self.docs.write.mode("overwrite").parquet(f"{path}/docs")
+        self.terms.write.mode("overwrite").parquet(f"{path}/terms")
+        self.docs.sparkSession.createDataFrame([(self.avg_len,)], "avg_len double").write.mode("overwrite").parquet(f"{path}/stats")
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> Bm25Index:
-        return Bm25Index(*(spark.read.parquet(f"{path}/{n}") for n in ("postings", "terms", "docs")))
-
-
-def term_counts(corpus: DataFrame, id_col: str, text: str) -> DataFrame:
-    """``id, term, tf``. Null and empty texts have no rows."""
-    return corpus.select(F.col(id_col).alias("id"), F.explode(code_tokens(F.col(text))).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
+        return Bm25Index(spark.read.parquet(f"{path}/docs"), spark.read.parquet(f"{path}/terms"), spark.read.parquet(f"{path}/stats").first()[0])
 
 
 def build(corpus: DataFrame, id_col: str, text: str) -> Bm25Index:
     """Index a corpus of unique ids; statistics cover exactly its documents, also those without a token."""
-    tf = term_counts(corpus, id_col, text)
-    lens = tf.groupBy("id").agg(F.sum("tf").alias("doc_len"))
-    docs = corpus.select(F.col(id_col).alias("id")).join(lens, "id", "left").select("id", F.coalesce("doc_len", F.lit(0)).alias("doc_len"))
-    n = corpus.count()
-    df = tf.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
-    raw = df.withColumn("raw", F.log(F.lit(n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    both = raw.agg(F.avg("raw").alias("m"), F.sum("cf").alias("t")).first()
-    mean, total = both["m"] or 0.0, both["t"] or 0
-    avg = total / n if n else 1.0
+    docs = cut(term_counts(corpus, id_col, text).withColumnRenamed(id_col, "id"))
+    sums = docs.agg(F.count("*").alias("n"), F.avg("dl").alias("avg")).first()
+    df = docs.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    raw = cut(df.withColumn("raw", F.log(F.lit(sums["n"]) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)))
+    mean = raw.agg(F.avg("raw")).first()[0] or 0.0
     terms = raw.select("term", "df", F.when(F.col("raw") < 0, F.lit(EPSILON * mean)).otherwise(F.col("raw")).alias("idf"))
-    w = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("doc_len") / F.lit(avg or 1.0)))
-    with_len = tf.withColumn("doc_len", F.sum("tf").over(Window.partitionBy("id")))
-    return Bm25Index(with_len.join(terms, "term").select("id", "term", "tf", w.alias("weight")), terms, docs)
+    return Bm25Index(docs, terms, sums["avg"] or 1.0)
 
 
 def search(index: Bm25Index, queries: DataFrame, query_id: str, text: str, k: int = 10) -> DataFrame:
     """``query_id, id, score, rank`` of the ``k`` best documents of every query; queries without a known term have none."""
-    q = queries.select(F.col(query_id).alias("query_id"), F.explode(code_tokens(F.col(text))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    # a term that a third of all documents hold is met in SALTS parts
-    q = q.withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
-    p = index.postings.withColumn("salt", F.pmod(F.hash("id"), F.lit(SALTS)))
-    hits = q.join(p, ["term", "salt"]).groupBy("query_id", "id").agg(F.sum(F.col("qtf") * F.col("weight")).alias("score"))
-    return top_k(hits.where("score > 0"), k)
+    q = term_counts(queries.select(F.col(query_id).alias("query_id"), F.col(text).alias("query_text")), "query_id", "query_text")
+    q = q.select("query_id", F.inline(F.arrays_zip(F.col("terms").alias("term"), F.col("tfs").alias("qtf"))))
+    q = q.join(index.terms, "term").groupBy("query_id").agg(F.collect_list("term").alias("qterms"), F.collect_list((F.col("qtf") * F.col("idf")).cast("double")).alias("qw"))
+
+    def gather(batches):
+        held: list[pd.DataFrame] = []
+        for pdf in batches:
+            for a in range(0, len(pdf), ASKED):
+                held.append(pdf.iloc[a : a + ASKED])
+                if sum(map(len, held)) >= ASKED:
+                    yield block(pd.concat(held))
+                    held = []
+        if held:
+            yield block(pd.concat(held))
+
+    def block(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"qids": [pdf["query_id"].to_numpy()], "lens": [pdf["qterms"].map(len).to_numpy()], "qterms": [np.concatenate(pdf["qterms"].to_list())], "qw": [np.concatenate(pdf["qw"].to_list())]})
+
+    kind, doc_kind = queries.schema[query_id].dataType.simpleString(), index.docs.schema["id"].dataType.simpleString()
+    asked = q.mapInPandas(gather, f"qids array<{kind}>, lens array<long>, qterms array<string>, qw array<double>")
+    packed = _pack(index.docs.where("dl > 0"))
+    pairs = block_pairs(packed, asked, ["qterms", "qw"])
+    avg = index.avg_len
+
+    def run(batches):
+        for pdf in batches:
+            for r in pdf.itertuples(index=False):
+                yield from _score(r, avg, k)
+
+    return top_k(pairs.mapInPandas(run, f"query_id {kind}, id {doc_kind}, score double"), k)
+
+
+def _pack(docs: DataFrame, rows: int = 2048) -> DataFrame:
+    """Blocks of documents of one partition: ``ids, dls, sizes, terms, tfs``."""
+
+    def pack(batches):
+        for pdf in batches:
+            for a in range(0, len(pdf), rows):
+                p = pdf.iloc[a : a + rows]
+                yield pd.DataFrame({"ids": [p["id"].to_numpy()], "dls": [p["dl"].to_numpy()], "sizes": [p["terms"].map(len).to_numpy()], "terms": [np.concatenate(p["terms"].to_list())], "tfs": [np.concatenate(p["tfs"].to_list())]})
+
+    kind = docs.schema["id"].dataType.simpleString()
+    return docs.select("id", "dl", "terms", "tfs").mapInPandas(pack, f"ids array<{kind}>, dls array<long>, sizes array<long>, terms array<string>, tfs array<long>")
+
+
+def _score(r, avg: float, k: int):
+    words = {t: i for i, t in enumerate(dict.fromkeys(r.qterms))}
+    nq, nv = len(r.qids), len(words)
+    ask = np.zeros((nv, nq))
+    ask[[words[t] for t in r.qterms], np.repeat(np.arange(nq), r.lens)] = r.qw
+    col = np.fromiter((words.get(t, -1) for t in r.terms), np.int64, len(r.terms))
+    row = np.repeat(np.arange(len(r.ids)), r.sizes)
+    tf = np.asarray(r.tfs, np.float64)
+    norm = K1 * (1 - B + B * np.asarray(r.dls, np.float64) / avg)
+    ok = col >= 0
+    row, col, val = row[ok], col[ok], tf[ok] * (K1 + 1) / (tf[ok] + norm[row[ok]])
+    ids, qids = np.asarray(r.ids), np.asarray(r.qids)
+    step = max(1, STEP_BYTES // (8 * max(nv, 1)))
+    for a in range(0, len(ids), step):
+        mine = (row >= a) & (row < a + step)
+        part = ids[a : a + step]
+        m = np.zeros((len(part), nv))
+        m[row[mine] - a, col[mine]] = val[mine]
+        s = np.round((m @ ask).T, 6)
+        n = min(k, len(part))
+        order = np.argsort(part, kind="stable")
+        best = order[np.argsort(-s[:, order], axis=1, kind="stable")[:, :n]]
+        score = np.take_along_axis(s, best, 1)
+        out = pd.DataFrame({"query_id": np.repeat(qids, n), "id": part[best].ravel(), "score": score.ravel()})
+        yield out[out["score"] > 0]
 
 
 def top_k(scored: DataFrame, k: int) -> DataFrame:

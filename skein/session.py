@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(app: str = "skein", cpus: str | int = "*", **conf: str) -> SparkSession:
@@ -58,3 +59,13 @@ def buckets_for(df: DataFrame, mb_each: int = 24) -> int:
     """How many hash buckets keep each one's share of ``df`` near ``mb_each``; grows with the input."""
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return max(least, -(-plan_bytes(df) // (mb_each << 20)))
+
+
+def block_pairs(data: DataFrame, ask: DataFrame, sized: list[str], limit: int = 64 << 20) -> DataFrame:
+    """Every row of ``data`` beside every row of ``ask``; both are blocks of thousands of rows, not single ones.
+
+    The blocks asked are written once; they go to every task if they are known to be small, else Spark pairs partitions.
+    """
+    ask = cut(ask)
+    weight = ask.select(F.sum(sum(F.octet_length(c) if t == "binary" else F.size(c) * 24 for c, t in ask.dtypes if c in sized))).first()[0] or 0
+    return data.crossJoin(F.broadcast(ask) if weight <= limit else ask)
