@@ -7,15 +7,10 @@ fewer than ``min_df`` records are shared by nobody and score 0.
 
 from __future__ import annotations
 
-import re
-from collections import Counter
-from functools import lru_cache
-
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import CAMEL, CODE_TOKENS_SQL, IDENT
+from ..functions.text import CODE_TOKENS_SQL, term_counts
 from ..session import cut
 
 MU = 200.0
@@ -24,40 +19,6 @@ MIN_DF = 2
 HOT = 200
 
 
-def term_counts(records: DataFrame, key: str, text: str) -> DataFrame:
-    """``key, dl, terms, tfs``: one row per record with its terms and their counts. Null or empty texts have none.
-
-    A record is counted where it lies, so nothing is shuffled; identifiers that recur are split once per worker.
-    """
-
-    def run(batches):
-        for pdf in batches:
-            made = [count_terms(t) for t in pdf[text]]
-            yield pd.DataFrame({key: pdf[key], "dl": [sum(c.values()) for c in made], "terms": [list(c) for c in made], "tfs": [list(c.values()) for c in made]})
-
-    kind = records.schema[key].dataType.simpleString()
-    return records.select(key, text).mapInPandas(run, f"`{key}` {kind}, dl long, terms array<string>, tfs array<long>")
-
-
-_IDENT, _CAMEL = re.compile(IDENT), re.compile(CAMEL)
-
-
-@lru_cache(maxsize=200_000)
-def _split(word: str) -> tuple[str, ...]:
-    whole = word.lower().replace("_", "")
-    parts = _CAMEL.findall(word)
-    return ((whole,) if whole else ()) + (tuple(p.lower() for p in parts) if len(parts) > 1 else ())
-
-
-def count_terms(text: str | None) -> Counter:
-    """The same terms as ``functions.text.code_tokens``, counted."""
-    out: Counter = Counter()
-    for word, n in Counter(_IDENT.findall(text or "")).items():
-        for t in _split(word):
-            out[t] += n
-    return out
-
-
 def term_scores(records: DataFrame, key: str, text: str, mu: float = MU, min_df: int = MIN_DF) -> DataFrame:
     """``key, term, tf, df, score`` for every record and each of its terms; statistics cover all records.
 

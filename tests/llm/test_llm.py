@@ -12,6 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from skein.functions.text import count_terms
 from skein.llm import abuse, javascript_source, mixing, packing, parsing, python_source, splitting, terms, tokens
 from skein.llm.gll import Grammar, folded
 
@@ -59,7 +60,7 @@ def test_split_texts(spark):
 def test_terms_equal_brute_force(spark):
     docs = {1: "parseHttp parse_http 12", 2: "parse the url url", 3: "", 4: None, 5: "only5"}
     got = {(r["k"], r["term"]): r for r in terms.term_scores(spark.createDataFrame(list(docs.items()), "k int, text string"), "k", "text").collect()}
-    tf = {k: terms.count_terms(t) for k, t in docs.items()}
+    tf = {k: count_terms(t) for k, t in docs.items()}
     cf = sum(tf.values(), Counter())
     total = sum(cf.values())
     assert tf[1] == Counter({"parsehttp": 2, "parse": 2, "http": 2, "12": 1})
