@@ -33,10 +33,14 @@ A = 32
 #: At most so many rated documents of each class train the model, chosen by hash of their id.
 MAX_POSITIVE, MAX_NEGATIVE = 2500, 5000
 LANDMARKS = 500
-#: Documents that score above this are flagged; clean ones end far below 0, abusive ones far above.
-THRESHOLD = 0.1
+#: Documents that score above this are flagged; ``calibrated`` puts it into the gap between the two kinds.
+THRESHOLD = 0.0
+#: When the threshold is set, a flagged document rated clean costs as much as so many flagged ones rated abusive gain.
+COST = 2.0
 #: In each round an abusive document's best passage must score above this to stay a positive.
 TRUST = (-9.0, -0.6, -0.2, 0.1, 0.25)
+#: A negative passage weighs half the clean documents that hold it, up to this.
+WEIGHTIEST = 30.0
 #: Widths in words of the runs that are scored beside whole sentences.
 WIDTHS = (3, 5, 8, 12)
 
@@ -288,9 +292,13 @@ def train(texts: list[str], toxic: list[int], landmarks: int = LANDMARKS, rounds
     n_pos, n_neg = int((y > 0).sum()), int((y == 0).sum())
     # documents that hold a run of words, counted by its checksum in arrays of fixed size
     in_pos, in_neg = np.zeros(1 << 24, np.int16), np.zeros(1 << 24, np.int16)
-    at = lambda r: crc32(r.encode()) & 0xFFFFFF
+    # a word of few documents counts as any such word, for names that are made up once each
+    words = Counter(w for d in docs for w in {w for p in d for w in p.split(" ")})
+    form = lambda p: " ".join(w if words[w] > 2 else "?" for w in p.split(" "))
+    code = lambda r: crc32(r.encode()) & 0xFFFFFF
+    at = lambda p: code(form(p))
     for d, t in zip(docs, y):
-        (in_pos if t else in_neg)[list({at(r) for p in d for r in runs(p)})] += 1
+        (in_pos if t else in_neg)[list({code(r) for p in d for r in runs(form(p))})] += 1
 
     def common(p: str) -> bool:
         """As usual in documents rated clean as in those rated abusive, so no evidence of abuse."""
@@ -299,7 +307,7 @@ def train(texts: list[str], toxic: list[int], landmarks: int = LANDMARKS, rounds
     inst = [(p, 1, 1.0 / len(d)) for d, t in zip(docs, y) if t for p in d if not common(p)]
     ns = list({p: None for d, t in zip(docs, y) if not t for p in d})
     ns = [ns[i] for i in rng.permutation(len(ns))[: max(8000, 4 * len(inst))]]
-    weigh = lambda p: min(6.0, max(1.0, 0.5 + 0.5 * int(in_neg[at(p)])))
+    weigh = lambda p: min(WEIGHTIEST, max(1.0, 0.5 + 0.5 * int(in_neg[at(p)])))
     inst += [(p, -1, weigh(p)) for p in ns]
     hard: dict[str, float] = {}
     flat, own = [p for d in docs for p in d], np.repeat(np.arange(len(docs)), [len(d) for d in docs])
@@ -317,9 +325,9 @@ def train(texts: list[str], toxic: list[int], landmarks: int = LANDMARKS, rounds
         if r:
             c[lab > 0] *= pos_weight
         model = space.fold(*_svm(space.map([p for p, _, _ in inst]), lab, c, reg))
-        if r == rounds:
-            break
         s, frm, to = model.windows(flat)
+        if r == rounds:
+            return calibrated(model, s, own, y)
         positives, best = [], Counter()
         for i in np.argsort(-s, kind="stable"):
             d, p = own[i], flat[i]
@@ -329,7 +337,7 @@ def train(texts: list[str], toxic: list[int], landmarks: int = LANDMARKS, rounds
                 if best[d] < 1 and not common(run) and s[i] > TRUST[min(r, len(TRUST) - 1)]:
                     best[d] += 1
                     positives.append((run, 1, 1.0))
-                    if run != p:
+                    if run != p and not common(p):
                         positives.append((p, 1, 0.5))
             elif best[d] < 4:
                 best[d] += 1
@@ -344,6 +352,21 @@ def train(texts: list[str], toxic: list[int], landmarks: int = LANDMARKS, rounds
     return model
 
 
+def calibrated(model: Model, s: np.ndarray, own: np.ndarray, y: np.ndarray) -> Model:
+    """Move the bias so that 0 parts the rated documents best: most abusive ones flagged, at ``COST`` for each clean one.
+
+    Of equally good thresholds the middle of the widest run is taken.
+    """
+    top = np.full(len(y), -9.0)
+    np.maximum.at(top, own, s)
+    grid = np.arange(-0.3, 0.71, 0.02)
+    gain = np.array([((top > t) & (y > 0)).sum() - COST * ((top > t) & (y == 0)).sum() for t in grid])
+    good = np.flatnonzero(gain >= gain.max() - 0.005 * (y > 0).sum())
+    parts = np.split(good, np.flatnonzero(np.diff(good) > 1) + 1)
+    widest = max(parts, key=len)
+    return Model(model.table, model.bias - float(grid[widest[len(widest) // 2]]))
+
+
 def rated(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``text, toxic`` of the documents whose ratings agree; null ratings don't count."""
     votes = labels.where("toxic is not null").groupBy("doc_id").agg(F.min("toxic").alias("lo"), F.max("toxic").alias("hi")).where("lo = hi")
