@@ -51,7 +51,8 @@ _LOOKALIKE = str.maketrans("асеорхукітвнмѕԁјһӏαοερτνικ
 _LEET = str.maketrans("0134578@$!|€", "oieastbasile")
 _INVISIBLE = re.compile("[­͏؜ᅟᅠ឴឵᠋-᠎​-‏‪-‮⁠-⁯︀-️﻿]")
 _CODE = re.compile(r"`[^`\n]*`|\b\w+\(\)|\b[A-Za-z]+(?:_[A-Za-z0-9]+)+\b|\b[a-z]+(?:[A-Z][a-z0-9]+)+\b|https?://\S+|[@#]\w+")
-_LETTERED = re.compile(r"(?<=[^\W\d_])[0134578@$!|€]+(?=[^\W\d_])|(?<![\w@$!|€])[@$!][^\W\d_]{2}")
+_LETTERED = re.compile(r"[0134578@$!|€]+(?=[^\W\d_])")
+_DIGITS = re.compile(r"\d+")
 _SPACED = re.compile(r"(?<![^\W_])(?:[^\W\d_][-._* ~/+|]{1,2}){2,}[^\W\d_](?![^\W_])")
 _SPLIT = re.compile(r"(?<=[.!?;:])\s+|[\n\r]+|\s+[-–—]\s+|(?<=[,])\s+")
 _REPEAT = re.compile(r"(.)\1{2,}")
@@ -62,17 +63,27 @@ for _i, _c in enumerate("abcdefghijklmnopqrstuvwxyz #*"):
     _CODES[ord(_c)] = _i + 1
 
 
+def _letters(m: re.Match) -> str:
+    """Digits and signs inside a word, or one sign at its start, as the letters they stand for."""
+    t, i = m.string, m.start()
+    inside = i > 0 and t[i - 1].isalpha()
+    sign = len(m.group()) == 1 and m.group() in "@$!" and not (i and t[i - 1].isalnum())
+    return m.group().translate(_LEET) if inside or sign else m.group()
+
+
 def plain(text: str) -> str:
     """A sentence in plain letters: look-alikes, invisible marks, letter swaps and spacing undone, names of code as ``#``."""
-    t = _INVISIBLE.sub("", text)
+    t = text if text.isascii() else _INVISIBLE.sub("", text)
     t = _CODE.sub(" # ", t)
-    t = unicodedata.normalize("NFKD", t).lower().translate(_LOOKALIKE)
     if not t.isascii():
+        t = unicodedata.normalize("NFKD", t).lower().translate(_LOOKALIKE)
         t = "".join(c for c in t if not unicodedata.combining(c))
-    t = _LETTERED.sub(lambda m: m.group().translate(_LEET), t)
+    else:
+        t = t.lower()
+    t = _LETTERED.sub(_letters, t)
     t = _SPACED.sub(lambda m: re.sub(r"[-._* ~/+|]", "", m.group()), t)
     t = _REPEAT.sub(r"\1\1", _DROP.sub("", t))
-    return _OTHER.sub(" ", re.sub(r"\d+", "#", t)).strip()
+    return _OTHER.sub(" ", _DIGITS.sub("#", t)).strip()
 
 
 def passages(text: str) -> list[str]:
