@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import callgraph, extract
@@ -12,8 +12,8 @@ from ..sources.tables import language_of_path, table
 
 def _graph(spark, d):
     e = table(spark, d, "events").where("user_id is not null")
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    calls = e.select(F.col("user_id").alias("caller_id"), F.col("event_type").alias("callee_name"), F.col("event_id").cast("int").alias("line"), (F.row_number().over(w) - 1).alias("call_order"))
+    # an order that compares needs no numbering, so no caller's calls are gathered
+    calls = e.select(F.col("user_id").alias("caller_id"), F.col("event_type").alias("callee_name"), F.col("event_id").cast("int").alias("line"), F.struct("ts", "event_id").alias("call_order"))
     u = e.select("user_id").distinct()
     name = F.concat(F.lit("user"), F.col("user_id").cast("string"))
     defs = u.select(

@@ -1,12 +1,12 @@
 """Questions to a call graph of definitions and calls joined by name.
 
 ``defs``: id, name, qualname, kind, file_path, line_start, line_end; ``calls``: caller_id, callee_name, line,
-call_order. Receivers are not resolved: a call is known by the last part of its name.
+call_order (any type that sorts). Receivers are not resolved: a call is known by the last part of its name.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
@@ -38,8 +38,9 @@ def callers(defs: DataFrame, calls: DataFrame, name: str) -> DataFrame:
 def callees(defs: DataFrame, calls: DataFrame, name: str) -> DataFrame:
     """What each definition of the name calls, once per callee in source order, and where that is defined."""
     mine = defs.where(F.col("kind").isin("function", "method", "class") & ((F.col("name") == short(name)) | (F.col("qualname") == name)))
-    w = Window.partitionBy("caller_id", "callee_name").orderBy("call_order")
-    first = calls.select("caller_id", "callee_name", "line", "call_order").join(mine.select(F.col("id").alias("caller_id"), *REF), "caller_id").withColumn("rn", F.row_number().over(w)).where("rn = 1")
+    once = calls.join(mine.select(F.col("id").alias("caller_id")), "caller_id", "left_semi").groupBy("caller_id", "callee_name")
+    once = once.agg(F.min_by(F.struct("line", "call_order"), "call_order").alias("c")).select("caller_id", "callee_name", "c.*")
+    first = once.join(mine.select(F.col("id").alias("caller_id"), *REF), "caller_id")
     where = defs.where(F.col("kind") != "module").select(F.col("name").alias("callee_name"), F.concat_ws(":", "file_path", "line_start").alias("at"))
     where = where.join(first.select("callee_name").distinct(), "callee_name", "left_semi").groupBy("callee_name").agg(F.sort_array(F.collect_list("at")).alias("defined_in"))
     out = first.join(where, "callee_name", "left").withColumn("defined_in", F.coalesce("defined_in", F.array().cast("array<string>")))
@@ -63,7 +64,7 @@ def transitive_callers(defs: DataFrame, calls: DataFrame, name: str, max_depth:
     the shared folder. A recursive name is its own caller at depth 1; module code is reported but has no callers.
     """
     spark = defs.sparkSession
-    edges = calls.select("caller_id", "callee_name").distinct().join(defs.select(F.col("id").alias("caller_id"), "name", "kind"), "caller_id")
+    edges = cut(calls.select("caller_id", "callee_name").distinct().join(defs.select(F.col("id").alias("caller_id"), "name", "kind"), "caller_id"))
     frontier = spark.createDataFrame([(short(name),)], "name string")
     names, found = frontier, None
     for depth in range(1, max_depth + 1):
