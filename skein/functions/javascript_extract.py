@@ -41,14 +41,23 @@ def tokens(source: str) -> list[tuple[str, str, int, int]]:
     return out
 
 
-def _closing(toks: list, i: int) -> int:
+class _Tokens(list):
+    """Tokens without comments, and for each opening bracket the index of the one that closes it."""
+
+    def __init__(self, toks: list):
+        super().__init__(toks)
+        self.close: dict[int, int] = {}
+        open_: list[int] = []
+        for i, t in enumerate(toks):
+            if t[0] == "op" and t[1] in "([{":
+                open_.append(i)
+            elif t[0] == "op" and t[1] in ")]}" and open_:
+                self.close[open_.pop()] = i
+
+
+def _closing(toks: _Tokens, i: int) -> int:
     """Index of the bracket that closes the one at ``i``, the last token if none does."""
-    depth = 0
-    for j in range(i, len(toks)):
-        depth += (toks[j][1] in "([{") - (toks[j][1] in ")]}") if toks[j][0] == "op" else 0
-        if depth == 0:
-            return j
-    return len(toks) - 1
+    return toks.close.get(i, len(toks) - 1)
 
 
 def _arrow_end(toks: list, i: int) -> int:
@@ -158,21 +167,28 @@ def extract(source: str, for_versioning: bool = False, strip_comments: bool = Fa
     """Definitions in source order, each with its calls; the code outside definitions last, as ``<module>``."""
     source = source.replace("\r\n", "\n").replace("\r", "\n")
     every = tokens(source)
-    t = [x for x in every if x[0] != "com"]
+    t = _Tokens([x for x in every if x[0] != "com"])
     defs = _definitions(t)
     alias = _aliases(t)
     funcs = [d for d in defs if d["kind"] != "class"]
     calls: dict[int, list[dict]] = {-1: [], **{id(d): [] for d in funcs}}
+    # tokens that name a definition: before its parameter list
+    own = {i for d in funcs for i in range(d["a"], min(d["a"] + 8, d["body"])) if t[i][1] == d["name"] and i + 1 < len(t) and t[i + 1][1] == "(" and _closing(t, i + 1) + 1 == d["body"]}
+    starts = sorted(funcs, key=lambda d: d["a"])
+    inside: list[dict] = []
+    n = 0
     for i, (k, w, line, col) in enumerate(t[:-1]):
+        while n < len(starts) and starts[n]["a"] <= i:
+            inside.append(starts[n])
+            n += 1
+        while inside and inside[-1]["b"] < i:
+            inside.pop()
         nxt = t[i + 1][1]
         made = i and t[i - 1][1] == "new"
-        if k != "id" or w in _NOT_CALLED or w in ("new", "async") or not (nxt == "(" or (nxt == "?." and i + 2 < len(t) and t[i + 2][1] == "(") or made):
+        if k != "id" or w in _NOT_CALLED or w in ("new", "async") or i in own or not (nxt == "(" or (nxt == "?." and i + 2 < len(t) and t[i + 2][1] == "(") or made):
             continue
-        if any(d["a"] <= i < d["body"] and d["name"] == w and t[i][2:] >= t[d["a"]][2:] and i < d["body"] - 1 and t[_closing(t, i + 1) + 1 : _closing(t, i + 1) + 2] and _closing(t, i + 1) + 1 == d["body"] for d in funcs):
-            continue  # the name of a definition
         dotted = i and t[i - 1][1] in (".", "?.")
-        inner = [d for d in funcs if d["a"] <= i <= d["b"]]
-        owner = id(max(inner, key=lambda d: d["a"])) if inner else -1
+        owner = id(inside[-1]) if inside else -1
         calls[owner].append({"callee": w if dotted else alias.get(w, w), "line": line, "col": col, "receiver": t[i - 2][1] if dotted and i > 1 else None})
     lines = source.splitlines(keepends=True)
     out = []
