@@ -34,21 +34,21 @@ def build_store(events: DataFrame, key: list[str], attrs: list[str], every: int
     """
     state = F.when(F.col("live"), F.struct(*attrs))
     ev = events.select(*key, "seq", "live", F.floor(F.col("seq") / every).alias("_bucket"), state.alias("state"))
-    runs = ev.groupBy(*key, "_bucket").agg(F.max_by("state", F.when(F.col("live"), F.col("seq"))).alias("state"))
-    before = F.last("state", True).over(Window.partitionBy(*key).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))
-    points = runs.select(
-        *key, (F.col("_bucket") * every).cast("int").alias("seq"), F.lit(None).cast("boolean").alias("live"), "_bucket", before.alias("state"), F.lit(0).alias("_kind")
-    ).where(F.col("state").isNotNull())
-    w = Window.partitionBy(*key, "_bucket").orderBy("seq", "_kind").rowsBetween(Window.unboundedPreceding, -1)
-    both = points.unionByName(ev.withColumn("_kind", F.lit(1))).withColumn("prev", F.last("state", True).over(w))
+    w = Window.partitionBy(*key).orderBy("seq")
+    ev = ev.withColumn("prev", F.last("state", True).over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    opens = ~F.lag("_bucket").over(w).eqNullSafe(F.col("_bucket"))
+    ev = ev.withColumn("opens", opens & F.col("prev").isNotNull())
 
     def slot(a: str):
         now, was = F.col(f"state.{a}"), F.col(f"prev.{a}")
         changed = F.col("prev").isNull() | ~now.eqNullSafe(was)
-        return F.when((F.col("_kind") == 1) & F.col("state").isNotNull() & changed, F.struct(now.alias("v"))).alias(a)
+        return F.when(F.col("state").isNotNull() & changed, F.struct(now.alias("v"))).alias(a)
 
-    full = F.when(F.col("_kind") == 0, F.col("state"))
-    return both.select(*key, "_bucket", "seq", "_kind", "live", full.alias("full"), F.struct(*[slot(a) for a in attrs]).alias("patch"))
+    patch, none = F.struct(*[slot(a) for a in attrs]), F.lit(False)
+    change = F.struct(F.col("seq"), F.lit(1).alias("_kind"), F.col("live"), F.when(none, F.col("prev")).alias("full"), patch.alias("patch"))
+    start = (F.col("_bucket") * every).cast(events.schema["seq"].dataType)
+    point = F.struct(start.alias("seq"), F.lit(0).alias("_kind"), F.when(none, F.col("live")).alias("live"), F.col("prev").alias("full"), F.when(none, patch).alias("patch"))
+    return ev.select(*key, "_bucket", F.inline(F.when(F.col("opens"), F.array(point, change)).otherwise(F.array(change))))
 
 
 def replay(store: DataFrame, key: list[str], attrs: list[str]) -> DataFrame:
