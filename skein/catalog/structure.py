@@ -41,10 +41,13 @@ def calls_before(spark: SparkSession, d: str) -> DataFrame:
     return callgraph.calls_before(*_graph(spark, d), "click", "purchase").select("qualname", "first_call_line", "later_call_line")
 
 
-def _supply(spark, d):
-    """A name graph with cycles: supplier s calls part p % 100, and the part named 'n<k>' is defined by supplier k."""
+def _supply(spark, d, upward=False):
+    """A name graph with cycles: supplier s calls part p % 997, and the part named 'n<k>' is defined by supplier k.
+
+    ``upward`` keeps only the calls of higher numbers, which leaves no cycle.
+    """
     li = table(spark, d, "lineitem")
-    edges = li.select("l_suppkey", (F.col("l_partkey") % 997).alias("p")).where("p > l_suppkey").distinct()
+    edges = li.select("l_suppkey", (F.col("l_partkey") % 997).alias("p")).where("p > l_suppkey" if upward else "true").distinct()
     ids = li.select("l_suppkey").distinct()
     defs = ids.select(
         F.col("l_suppkey").alias("id"), F.concat(F.lit("n"), F.col("l_suppkey").cast("string")).alias("name"), F.concat(F.lit("n"), F.col("l_suppkey").cast("string")).alias("qualname"),
@@ -55,7 +58,13 @@ def _supply(spark, d):
 
 
 def transitive_callers(spark: SparkSession, d: str) -> DataFrame:
-    return callgraph.transitive_callers(*_supply(spark, d), "n90", 4).select("qualname", "depth")
+    """Over the upward calls to depth 4, as its SQL has it; ``transitive_callers_whole`` walks the whole graph."""
+    return callgraph.transitive_callers(*_supply(spark, d, upward=True), "n90", 4).select("qualname", "depth")
+
+
+def transitive_callers_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Over all calls, cycles among them, to the operator's own depth."""
+    return callgraph.transitive_callers(*_supply(spark, d), "n90").select("qualname", "depth")
 
 
 def _texts(spark, d):
@@ -88,7 +97,7 @@ def router_safety(spark: SparkSession, d: str) -> DataFrame:
     return router.safety(table(spark, d, "documents"), "text")
 
 
-QUERIES = {f.__name__: f for f in (definition, callers, callees, calls_before, transitive_callers, extract_definitions, extract_calls, router_classify, router_safety)}
+QUERIES = {f.__name__: f for f in (definition, callers, callees, calls_before, transitive_callers, transitive_callers_whole, extract_definitions, extract_calls, router_classify, router_safety)}
 
 _G = """e as (select *, row_number() over (partition by user_id order by ts, event_id) - 1 ord from events where user_id is not null)"""
 ORACLE = {
@@ -100,6 +109,9 @@ ORACLE = {
     "transitive_callers": """with recursive ed as (select distinct l_suppkey s, l_partkey % 997 p from lineitem where l_partkey % 997 > l_suppkey),
         walk as (select distinct s, 1 depth from ed where p = 90 union select ed.s, walk.depth + 1 from walk join ed on ed.p = walk.s where walk.depth < 4)
         select 'n' || s qualname, min(depth) depth from walk group by s""",
+    "transitive_callers_whole": """with recursive ed as (select distinct l_suppkey s, l_partkey % 997 p from lineitem),
+        walk as (select distinct s, 1 depth from ed where p = 90 union select ed.s, walk.depth + 1 from walk join ed on ed.p = walk.s where walk.depth < 10)
+        select 'n' || s qualname, min(depth) depth from walk group by s""",
     "router_classify": """with n as (select distinct qualname q from snippets where kind <> 'module'),
         f as (select * from (values ('Which functions call ', '?', 'callers'), ('what does ', ' call', 'callees'), ('where is ', ' defined', 'definition'), ('all transitive callers of ', '', 'transitive'), ('history of ', '', 'history'), ('explain ', '', null)) t(a, b, kind))
         select a || q || b question, kind, case when kind is null then '' else q end names from n cross join f""",

@@ -5,6 +5,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from skein.catalog import structure
 from skein.functions import javascript_extract, python_extract
 from skein.functions.embed import hashed_bow
 from skein.operators import callgraph, dense, diff, extract, fusion, lineage, metrics, ranking, sparse
@@ -187,6 +188,19 @@ def test_recursion_ends(spark):
     assert {(r["qualname"], r["depth"]) for r in callgraph.transitive_callers(defs, calls, "f").collect()} == {("f", 1), ("g", 1)}
 
 
+def test_transitive_callers_whole_graph(spark, tmp_path):
+    """A chain of 12 downward calls to n90 with a cycle, against a walk by hand; a filter or a small depth loses most of it."""
+    edges = {(91, 90), (90, 95), (95, 91)} | {(k + 1, k) for k in range(95, 106)} | {(3, 90)}
+    spark.createDataFrame([(s, p) for s, p in edges], "l_suppkey long, l_partkey long").write.parquet(str(tmp_path / "lineitem.parquet"))
+    want, level = {}, {90}
+    for depth in range(1, 11):
+        level = {s for s, p in edges if p in level and s not in want}
+        want |= dict.fromkeys(level, depth)
+    got = {r["qualname"]: r["depth"] for r in structure.transitive_callers_whole(spark, str(tmp_path)).collect()}
+    assert got == {f"n{k}": v for k, v in want.items()} and want[90] == 3 and max(want.values()) == 10
+    assert {r["qualname"] for r in structure.transitive_callers(spark, str(tmp_path)).collect()} == {"n3"}
+
+
 def test_answers(graph):
     defs, calls = graph
     a = answer("Which functions call normalize?", defs, calls)
