@@ -50,7 +50,8 @@ _PATTERNS = [(a, b, c, LAMBDA ** (c - 3)) for a, b, c in combinations(range(1, R
 _LOOKALIKE = str.maketrans("асеорхукітвнмѕԁјһӏαοερτνικυ", "aceopxykitbhmsdjhlaoeptvikuu"[:27])
 _LEET = str.maketrans("0134578@$!|€", "oieastbasile")
 _INVISIBLE = re.compile("[­͏؜ᅟᅠ឴឵᠋-᠎​-‏‪-‮⁠-⁯︀-️﻿]")
-_CODE = re.compile(r"`[^`\n]*`|\b\w+\(\)|\b[A-Za-z]+(?:_[A-Za-z0-9]+)+\b|\b[a-z]+(?:[A-Z][a-z0-9]+)+\b|https?://\S+|[@#]\w+")
+_CODE = re.compile(r"`[^`\n]*`|\b\w+\(\)|(?P<snake>\b[A-Za-z]+(?:_[A-Za-z0-9@$!|€]+)+(?!\w))|(?P<camel>\b[a-z]+(?:[A-Z][a-z0-9]+)+\b)|https?://\S+|#\w+")
+_HUMP = re.compile(r"[A-Z]?[a-z0-9]+")
 _LETTERED = re.compile(r"[0134578@$!|€]+(?=[^\W\d_])")
 _DIGITS = re.compile(r"\d+")
 _SPACED = re.compile(r"(?<![^\W_])(?:[^\W\d_][-._* ~/+|]{1,2}){2,}[^\W\d_](?![^\W_])")
@@ -71,10 +72,24 @@ def _letters(m: re.Match) -> str:
     return m.group().translate(_LEET) if inside or sign else m.group()
 
 
+def _named(m: re.Match) -> str:
+    """A name of code as ``#``; but a word spelled with ``_`` or in mixed case, known by its short parts, as that word."""
+    t = m.group()
+    if m.lastgroup == "snake":
+        parts = t.split("_")
+        if len(parts) > 2 and (sum(len(p) == 1 for p in parts) > 2 or max(map(len, parts)) < 3):
+            return "".join(parts)
+    elif m.lastgroup == "camel":
+        parts = _HUMP.findall(t)
+        if len(parts) > 2 and max(map(len, parts)) < 3:
+            return t
+    return " # "
+
+
 def plain(text: str) -> str:
     """A sentence in plain letters: look-alikes, invisible marks, letter swaps and spacing undone, names of code as ``#``."""
     t = text if text.isascii() else _INVISIBLE.sub("", text)
-    t = _CODE.sub(" # ", t)
+    t = _CODE.sub(_named, t)
     if not t.isascii():
         t = unicodedata.normalize("NFKD", t).lower().translate(_LOOKALIKE)
         t = "".join(c for c in t if not unicodedata.combining(c))

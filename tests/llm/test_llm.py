@@ -278,6 +278,16 @@ def test_abuse_edges(spark):
     assert abuse.score_documents(docs.where("false"), model).count() == 0
 
 
+@pytest.mark.parametrize("text", ["you d_u_m_b_a_s_s.", "you D_U_M_B_4_S_S!", "you du_mb_as_s", "you dUmBaSs", "you dumb@ss", "you d_u_m_b_@_s_s"])
+def test_abuse_disguise_outlives_code_names(text):
+    assert abuse.plain(text) == "you dumbass"
+
+
+def test_abuse_code_names_stay_masked():
+    assert abuse.plain("@sshole") == "asshole" and abuse.plain("b@stard") == "bastard"
+    assert abuse.plain("see row_id parse_config x_y toUpperCase isOk f() `a_b_c` #12") == abuse.plain("see `a` `b` `c` `d` `e` `f` `g` #1")
+
+
 # ---- the queries
 
 from skein.llm.queries import ORACLE, QUERIES  # noqa: E402
