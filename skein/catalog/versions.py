@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import vector_id
@@ -32,6 +32,17 @@ def diff_counts(spark: SparkSession, d: str) -> DataFrame:
     return diff.counts(_diff(spark, d), ["repo"])
 
 
+def diff_classes_all(spark: SparkSession, d: str) -> DataFrame:
+    """The classes of every version against the nearest earlier one of its repository, with the places of moves."""
+    s = table(spark, d, "snippet_scans").where("repo is not null and seq is not null")
+    w = Window.partitionBy("repo").orderBy("seq")
+    pairs = s.select("repo", "seq").distinct().select("repo", F.lag("seq").over(w).alias("before"), "seq").where("before is not null")
+    sid = clean_id(F.col("snippet_id"))
+    s = s.groupBy("repo", "seq", *diff.KEY).agg(F.max_by(sid, F.struct("scanned_at", sid)).alias("snippet_id"))
+    old = s.withColumnRenamed("seq", "before").join(pairs, ["repo", "before"]).drop("before")
+    return diff.diff_snippets(old, s.join(pairs.drop("before"), ["repo", "seq"]), ["repo", "seq"])
+
+
 def move_pairs(spark: SparkSession, d: str) -> DataFrame:
     return _diff(spark, d).where("change_class = 'moved'").select("repo", "old_file_path", "old_qualname", "new_file_path", "new_qualname", F.col("new_snippet_id").alias("snippet_id"))
 
@@ -155,7 +166,7 @@ def store_equivalence(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        diff_classes, diff_counts, move_pairs, scd2_rows, as_of, between_range, lineage_groups, history, history_diffs, lineage_backfill, vacuum_live, lineage_links, bm25_as_of,
+        diff_classes, diff_classes_all, diff_counts, move_pairs, scd2_rows, as_of, between_range, lineage_groups, history, history_diffs, lineage_backfill, vacuum_live, lineage_links, bm25_as_of,
         lineage_search_grouped, lineage_redundancy, file_changes, changed_listing, store_equivalence,
     )
 }
@@ -177,6 +188,20 @@ pr as (select coalesce(g.repo, f.repo) repo, of, oq, oo, os, nf, nq, no, ns, cas
   from gone g full outer join fresh f on g.repo = f.repo and g.os = f.ns and g.rn = f.rn),
 cls as (select repo, of, oq, oo, os, nf, nq, no, ns, c from kept union all select * from pr)
 """
+_ALL = """
+s1 as (select repo, seq, file_path, qualname, ordinal, lower(trim(snippet_id)) sid, row_number() over (partition by repo, seq, file_path, qualname, ordinal order by scanned_at desc, lower(trim(snippet_id)) desc) rn
+  from snippet_scans where repo is not null and seq is not null),
+sq as (select repo, seq, lag(seq) over w before, lead(seq) over w after from (select distinct repo, seq from s1) window w as (partition by repo order by seq)),
+o as (select s1.repo, sq.after seq, file_path, qualname, ordinal, sid from s1 join sq on s1.repo = sq.repo and s1.seq = sq.seq where rn = 1 and after is not null),
+n as (select s1.repo, s1.seq, file_path, qualname, ordinal, sid from s1 join sq on s1.repo = sq.repo and s1.seq = sq.seq where rn = 1 and before is not null),
+j as (select coalesce(o.repo, n.repo) repo, coalesce(o.seq, n.seq) seq, o.file_path of, o.qualname oq, o.ordinal oo, o.sid os, n.file_path nf, n.qualname nq, n.ordinal no, n.sid ns
+  from o full outer join n on o.repo = n.repo and o.seq = n.seq and o.file_path = n.file_path and o.qualname = n.qualname and o.ordinal = n.ordinal),
+gone as (select *, row_number() over (partition by repo, seq, os order by of, oq, oo) rn from j where nf is null),
+fresh as (select *, row_number() over (partition by repo, seq, ns order by nf, nq, no) rn from j where of is null),
+cls as (select repo, seq, case when os = ns then 'unchanged' else 'modified' end c, of, oq, oo, os, nf, nq, no, ns from j where of is not null and nf is not null
+  union all select coalesce(g.repo, f.repo), coalesce(g.seq, f.seq), case when f.nf is null then 'deleted' when g.of is null then 'added' else 'moved' end, g.of, g.oq, g.oo, g.os, f.nf, f.nq, f.no, f.ns
+  from gone g full outer join fresh f on g.repo = f.repo and g.seq = f.seq and g.os = f.ns and g.rn = f.rn)
+"""
 _P = f"""{problems._ROWS}, p as (select *, nullif(seq_removed, 0) sr, lineage_id * 10000 + seq_added row_id, (select any_value(r.repo) from rows r where r.lineage_id = periods.lineage_id) repo from periods where lineage_id is not null)"""
 _SEL = "select repo, lineage_id, snippet_id, file_path, qualname, ordinal, seq_added, cast(sr as integer) seq_removed from p"
 _H = """h as (select *, row_number() over w nth, lag(snippet_id) over w prev, row_number() over (partition by lineage_id, snippet_id order by seq_added) > 1 seen from p window w as (partition by lineage_id order by seq_added)),
@@ -193,6 +218,7 @@ def _bm25(rows: str) -> str:
 
 ORACLE = {
     "diff_classes": f"with {_CLASSES} select repo, c change_class, of old_file_path, oq old_qualname, oo old_ordinal, os old_snippet_id, nf new_file_path, nq new_qualname, no new_ordinal, ns new_snippet_id from cls",
+    "diff_classes_all": f"with {_ALL} select repo, seq, c change_class, of old_file_path, oq old_qualname, oo old_ordinal, os old_snippet_id, nf new_file_path, nq new_qualname, no new_ordinal, ns new_snippet_id from cls",
     "diff_counts": f"""with {_CLASSES} select repo, count(*) filter (c = 'added') added, count(*) filter (c = 'deleted') deleted, count(*) filter (c = 'unchanged') unchanged,
         count(*) filter (c = 'modified') modified, count(*) filter (c = 'moved') moved from cls group by 1""",
     "move_pairs": f"with {_CLASSES} select repo, of old_file_path, oq old_qualname, nf new_file_path, nq new_qualname, ns snippet_id from cls where c = 'moved'",

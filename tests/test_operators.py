@@ -5,7 +5,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from skein.catalog import structure
+from skein.catalog import structure, versions
 from skein.functions import javascript_extract, python_extract
 from skein.functions.embed import hashed_bow
 from skein.operators import callgraph, dense, diff, extract, fusion, lineage, metrics, ranking, sparse
@@ -242,6 +242,15 @@ def test_diff(spark):
     assert diff.counts(diff.diff_snippets(none, new)).first()["added"] == 6 and diff.diff_snippets(none, none).count() == 0
 
 
+def test_diff_of_all_versions(spark, tmp_path):
+    """Versions 1, 4 and 5 of one repository and 2 of another: each but the first against the nearest earlier one."""
+    rows = [("r", 1, "a", "f", "1", 0), ("r", 1, "a", "g", "2", 0), ("r", 4, "b", "f", "1", 0), ("r", 4, "a", "g", "0", 0), ("r", 4, "a", "g", "3", 1), ("r", 5, "b", "f", "1", 0), ("r", 5, "b", "h", "4", 0), ("q", 2, "a", "f", "1", 0)]
+    df = spark.createDataFrame(rows, "repo string, seq int, file_path string, qualname string, snippet_id string, scanned_at int").withColumns({"ordinal": F.lit(0), "kind": F.lit("function")})
+    df.write.parquet(str(tmp_path / "snippet_scans.parquet"))
+    got = {(r["repo"], r["seq"], r["change_class"], r["old_file_path"], r["new_file_path"]) for r in versions.diff_classes_all(spark, str(tmp_path)).collect()}
+    assert got == {("r", 4, "moved", "a", "b"), ("r", 4, "modified", "a", "a"), ("r", 5, "unchanged", "b", "b"), ("r", 5, "deleted", "a", None), ("r", 5, "added", None, "b")}
+
+
 def test_spread_row_number(spark):
     df = spark.range(500).select((F.col("id") % 7 % 2).alias("k"), F.hash("id").alias("o"))
     a = ranking.spread_row_number(df, ["k"], ["o"])
