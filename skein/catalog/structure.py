@@ -94,10 +94,15 @@ def router_classify(spark: SparkSession, d: str) -> DataFrame:
 
 
 def router_safety(spark: SparkSession, d: str) -> DataFrame:
+    """Without the median, as its SQL has it; ``router_safety_median`` gives all."""
+    return router_safety_median(spark, d).drop("median_words")
+
+
+def router_safety_median(spark: SparkSession, d: str) -> DataFrame:
     return router.safety(table(spark, d, "documents"), "text")
 
 
-QUERIES = {f.__name__: f for f in (definition, callers, callees, calls_before, transitive_callers, transitive_callers_whole, extract_definitions, extract_calls, router_classify, router_safety)}
+QUERIES = {f.__name__: f for f in (definition, callers, callees, calls_before, transitive_callers, transitive_callers_whole, extract_definitions, extract_calls, router_classify, router_safety, router_safety_median)}
 
 _G = """e as (select *, row_number() over (partition by user_id order by ts, event_id) - 1 ord from events where user_id is not null)"""
 ORACLE = {
@@ -117,4 +122,6 @@ ORACLE = {
         select a || q || b question, kind, case when kind is null then '' else q end names from n cross join f""",
     "router_safety": """with d as (select len(list_filter(regexp_split_to_array(coalesce(text, ''), '\\s+'), lambda w: w <> '')) n, regexp_matches(coalesce(text, ''), '(?i)\\bcalls?\\b') c from documents)
         select count(*) n_queries, cast(0 as bigint) n_routed, cast(0 as bigint) n_routed_ungated, cast(min(n) as integer) min_words, cast(max(n) as integer) max_words, cast(sum(cast(n > 30 as integer)) as bigint) n_longer, cast(sum(cast(c as integer)) as bigint) n_with_call from d""",
+    "router_safety_median": """with d as (select len(list_filter(regexp_split_to_array(coalesce(text, ''), '\\s+'), lambda w: w <> '')) n, regexp_matches(coalesce(text, ''), '(?i)\\bcalls?\\b') c from documents)
+        select count(*) n_queries, cast(0 as bigint) n_routed, cast(0 as bigint) n_routed_ungated, cast(min(n) as integer) min_words, cast(max(n) as integer) max_words, cast(sum(cast(n > 30 as integer)) as bigint) n_longer, cast(sum(cast(c as integer)) as bigint) n_with_call, cast((select n from (select n, row_number() over (order by n) - 1 i from d) where i = (select count(*) // 2 from d)) as integer) median_words from d""",
 }

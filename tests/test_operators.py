@@ -232,6 +232,12 @@ def test_router_safety(spark):
     assert r["n_routed"] == sum(v is not None for v in ROUTES.values()) and r["n_longer"] == 1
 
 
+@pytest.mark.parametrize("words, median", [([3, 1, 2], 2), ([4, 1, 1, 9], 4), ([0, 5], 5), ([7], 7), ([], None)])
+def test_router_safety_upper_median(spark, words, median):
+    df = spark.createDataFrame([(" ".join(["w"] * n),) for n in words], "text string")
+    assert safety(df, "text").first()["median_words"] == median
+
+
 def test_diff(spark):
     cols = "file_path string, qualname string, ordinal int, snippet_id string"
     old = spark.createDataFrame([("a", "same", 0, "1"), ("a", "edit", 0, "2"), ("a", "gone", 0, "3"), ("a", "mv", 0, "4"), ("a", "ren", 0, "5"), ("a", "d1", 0, "7"), ("a", "d2", 0, "7")], cols)
