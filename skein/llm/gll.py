@@ -13,12 +13,17 @@ from __future__ import annotations
 
 import re
 
-#: Sequences remembered per grammar before the memory is emptied.
-MEMORY = 200_000
+#: Sequences remembered per grammar, and token kinds in them, before the memory is emptied.
+MEMORY, MEMORY_KINDS = 200_000, 20_000_000
+#: Equal neighbours in a list that are read; more cannot change the verdict (see ``Grammar.listed``).
+RUN = 16
 
 
 class Grammar:
-    def __init__(self, text: str, classes: dict[str, frozenset] | None = None):
+    """``items`` are nonterminals that stand between the commas of lists and derive no comma themselves."""
+
+    def __init__(self, text: str, classes: dict[str, frozenset] | None = None, items: tuple[str, ...] = ()):
+        self.items = items
         self.classes = dict(classes or {})
         self.rules: dict[str, list[tuple]] = {}
         self._n = 0
@@ -32,9 +37,13 @@ class Grammar:
             toks = re.findall(r"'[^']+'[?*+]?|[()|]|\)[?*+]|!?[^\s()|]+", re.sub(r"\)([?*+])", r") \1", body))
             self._i, self._t = 0, toks
             self.rules[name] = self._alts()
+        for v in items:
+            self.rules[v].append(((0, f"<{v}>"),))
         self._first()
         self._choice: dict[tuple, list] = {}
         self.memory: dict[tuple, frozenset] = {}
+        self.held = 0
+        self._held_items: dict[tuple, tuple] = {}
 
     def _new(self, alts: list[tuple]) -> tuple:
         self._n += 1
@@ -177,11 +186,64 @@ class Grammar:
         key = (starts, kinds)
         got = self.memory.get(key)
         if got is None:
-            if len(self.memory) > MEMORY:
+            self.held += len(kinds)
+            if len(self.memory) > MEMORY or self.held > MEMORY_KINDS:
                 self.memory.clear()
+                self.held = len(kinds)
             got = self.memory[key] = self.accepts(starts, kinds)
         return got
 
+    def _items_of(self, starts: tuple[str, ...]) -> tuple[str, ...]:
+        """The items that lists of ``starts`` may hold."""
+        found = self._held_items.get(starts)
+        if found is None:
+            reached, todo = set(starts), list(starts)
+            while todo:
+                name = todo.pop()
+                new = set() if name in self.items else {v for alt in self.rules[name] for k, v in alt if k == 1} - reached
+                reached |= new
+                todo += new
+            found = self._held_items[starts] = tuple(i for i in self.items if i in reached)
+        return found
+
+    def listed(self, starts: tuple[str, ...], kinds: tuple[str, ...]) -> frozenset:
+        """``known`` for contents in which every comma parts two items of a list.
+
+        Each distinct item is recognised once and stands in the list as one token, a terminal of each of ``items`` it
+        derives. As no item derives a comma, the list is derived from those exactly where it is from the whole text.
+
+        Of a run of equal items ``RUN`` are kept. Every repetition of the list rules takes one item a round, and no
+        rule names as many as ``RUN`` items outside of repetitions; so any derivation of a run that long goes round
+        one of them, and a round more or less is a derivation too: longer runs have the verdict of ``RUN``.
+        """
+        if "," not in kinds:
+            return self.known(starts, kinds)
+        items = self._items_of(starts)
+        out: list[str] = []
+        at, last, run = 0, "", 0
+        while True:
+            try:
+                end = kinds.index(",", at)
+            except ValueError:
+                end = len(kinds)
+            if end > at:
+                caps = self.known(items, kinds[at:end])
+                if not caps:
+                    return frozenset()
+                item = self.group("<", frozenset(f"<{c}>" for c in caps))
+                run = run + 1 if item == last else 1
+                last = item
+                if run > RUN:
+                    out.pop()
+                else:
+                    out.append(item)
+            else:
+                run = 0
+            if end == len(kinds):
+                return self.known(starts, tuple(out))
+            out.append(",")
+            at = end + 1
+
     def group(self, mark: str, caps: frozenset) -> str:
         """The kind of a token that is a terminal of each of ``caps``."""
         kind = mark + "+".join(sorted(caps))
@@ -190,31 +252,5 @@ class Grammar:
         return kind
 
 
-def folded(kinds: list[str]) -> tuple[str, ...]:
-    """The kinds between two brackets, with runs of equal items between commas cut to three. An item that is nothing
-    but a literal is taken for a number, for wherever the one may be an item, the other may.
-
-    Every list of these grammars is a sequence of items whose order matters but whose number does not, so the fourth
-    of four equal neighbours changes nothing. Data tables of thousands of entries become short.
-    """
-    if len(kinds) < 16:
-        return tuple(kinds)
-    out: list[str] = []
-    item: list[str] = []
-    last, same = None, 0
-    for k in (*kinds, ","):
-        if k != ",":
-            item.append(k)
-            continue
-        if len(item) == 1 and item[0] == "STRING":
-            item = ["NUMBER"]
-        same = same + 1 if item == last else 1
-        if same <= 3:
-            out += item
-            out.append(",")
-        last, item = item, []
-    return tuple(out[:-1])
-
-
 class Invalid(Exception):
     """The text is rejected by every dialect."""

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import re
 
-from .gll import MEMORY, Grammar, Invalid, folded
+from .gll import MEMORY, Grammar, Invalid
 
 # fixed values: the language's words
 RESERVED = frozenset(
@@ -20,15 +20,19 @@ _CLASSES |= {w: frozenset(("PRE", "IDNAME")) for w in ("typeof", "void", "delete
 _CLASSES |= {
     "NAME": frozenset(("NAME", "IDNAME")), "instanceof": frozenset(("BINOP", "IDNAME")), "return!": frozenset(("IDNAME",)), "AWAIT": frozenset(("AWAIT", "IDNAME")),
     "await0": frozenset(("AWAIT", "NAME", "IDNAME")), "YIELD": frozenset(("YIELD", "IDNAME")),
+    "break!": frozenset(("break!", "IDNAME")), "continue!": frozenset(("continue!", "IDNAME")), "let[": frozenset(("let", "let[", "IDNAME")),
 }
 
 GRAMMAR = r"""
 expr: assign ( , assign )*
 assign: cond | arrow | YIELD | YIELD assign | YIELD STAR assign | target = assign | target ASSIGNOP assign | apat = assign
 cond: bin | bin '?' assign ':' assign
-bin: un ( binop un )* | PRIV in un ( binop un )*
+bin: ops ( LOGIC ops )* | ops ( '??' ops )+
+ops: pow ( binop pow )* | PRIV in pow ( binop pow )*
 binop: BINOP | STAR | SIGN | in
-un: PRE un | SIGN un | AWAIT un | INC target | post
+pow: un | upd '**' pow
+un: PRE un | SIGN un | AWAIT un | upd
+upd: INC target | post
 post: lhs | target INC
 lhs: prim suf*
 prim: NAME | LIT | NUMBER | STRING | REGEX | TPL | arr | obj | paren | funcx | classx | new lhs | new . NAME | super | import args | import . NAME
@@ -47,23 +51,29 @@ cdecl: NAME = assign | bpat = assign
 cdecls: cdecl ( , cdecl )*
 func: async? function STAR? NAME params blk
 decl: func | class NAME heir? cls | let vdecls eos | const cdecls eos
-estmt: !BR !function !class expr eos
-stmt: blk | ; | var vdecls eos | estmt | if paren stmt ( else stmt )? | do stmt NLS? while paren ;? | while paren stmt | for head stmt | for AWAIT head stmt
- | continue NAME? eos | break NAME? eos | return expr? eos | with paren stmt | switch paren cas | NAME ':' stmt | NAME ':' func | throw expr eos | try blk handler | debugger eos
+estmt: !BR !function !class !let[ expr eos
+stmt: blk | ; | var vdecls eos | estmt | if paren branch ( else branch )? | do stmt NLS? while paren ;? | while paren stmt | for head stmt | for AWAIT head stmt
+ | continue NAME? eos | break NAME? eos | continue! NAME eos | break! NAME eos | return expr? eos | with paren stmt | switch paren cas | NAME ':' stmt | NAME ':' func | throw expr eos | try blk handler | debugger eos
+branch: stmt | function NAME params blk
 handler: catch cparam? blk ( finally blk )? | finally blk
 seg_: item*
-clause: NAME | STAR as NAME | spec | NAME , STAR as NAME | NAME , spec
+clause: NAME | STAR as NAME | ispec | NAME , STAR as NAME | NAME , ispec
 attrs: with obj
 xname: IDNAME | STRING
 top: import STRING attrs? eos | import clause from STRING attrs? eos
  | export default func | export default async? function STAR? params blk | export default class NAME? heir? cls | export default !function !class assign eos
- | export spec ( from STRING attrs? )? eos | export STAR ( as xname )? from STRING attrs? eos | export decl | export var vdecls eos
+ | export spec from STRING attrs? eos | export lspec eos | export STAR ( as xname )? from STRING attrs? eos | export decl | export var vdecls eos
 top_: ( item | top )*
+script_: item*
 arg: ... assign | assign
 args_: | arg ( , arg )* ,?
 paren_: expr
 fparam: NAME ( = assign )? | bpat ( = assign )?
 frest: ... NAME | ... bpat
+brest: ... binder
+arest: ... each
+obrest: ... NAME
+oarest: ... target
 params_: | fparam ( , fparam )* ,? | fparam ( , fparam )* , frest | frest
 binder: NAME | bpat
 kind: var | let | const
@@ -74,19 +84,23 @@ ptgt_: target
 arr_: arg? ( , arg? )*
 sub_: expr
 bel: binder ( = assign )?
-abpat_: bel? ( , bel? )* | ( bel? , )* ... binder
+abpat_: bel? ( , bel? )* | ( bel? , )* brest
 ael: each ( = assign )?
-aapat_: ael? ( , ael? )* | ( ael? , )* ... each
+aapat_: ael? ( , ael? )* | ( ael? , )* arest
 pname: IDNAME | STRING | NUMBER | sub
 method: pname params blk | ( get | set | async ) pname params blk | STAR pname params blk | async STAR pname params blk
 prop: NAME | pname ':' assign | method | ... assign
 obj_: | prop ( , prop )* ,?
 bprop: NAME ( = assign )? | pname ':' binder ( = assign )?
-obpat_: | bprop ( , bprop )* ,? | ( bprop , )* ... NAME
+obpat_: | bprop ( , bprop )* ,? | ( bprop , )* obrest
 aprop: NAME ( = assign )? | pname ':' each ( = assign )?
-oapat_: | aprop ( , aprop )* ,? | ( aprop , )* ... target
+oapat_: | aprop ( , aprop )* ,? | ( aprop , )* oarest
 sname: xname ( as xname )?
 spec_: | sname ( , sname )* ,?
+iname: NAME | xname as NAME
+ispec_: | iname ( , iname )* ,?
+lname: NAME ( as xname )?
+lspec_: | lname ( , lname )* ,?
 cname: pname | PRIV
 cmethod: cname params blk | ( get | set | async ) cname params blk | STAR cname params blk | async STAR cname params blk
 celem: ; | NLS | END | static? cmethod | static? cname ( = assign )? eos | static blk
@@ -95,22 +109,25 @@ cas_: ( case expr ':' | default ':' | item )*
 whole: expr
 """
 
-JS = Grammar(GRAMMAR, _CLASSES)
+_ITEMS = ("arg", "assign", "fparam", "frest", "bel", "brest", "ael", "arest", "prop", "bprop", "obrest", "aprop", "oarest", "sname", "iname", "lname")
+JS = Grammar(GRAMMAR, _CLASSES, _ITEMS)
 _GROUPS: dict[tuple, str] = {}
 _NAMES = {"abpat_": "bpat", "obpat_": "bpat", "aapat_": "apat", "oapat_": "apat", "seg_": "blk"}
-_PAREN, _BRACKET, _BRACE = ("args_", "paren_", "params_", "head_", "cparam_", "ptgt_"), ("arr_", "sub_", "abpat_", "aapat_"), ("obj_", "obpat_", "oapat_", "spec_")
+_PAREN, _BRACKET, _BRACE = ("args_", "paren_", "params_", "cparam_", "ptgt_"), ("arr_", "sub_", "abpat_", "aapat_"), ("obj_", "obpat_", "oapat_", "spec_", "ispec_", "lspec_")
 _SEGS = ("seg_", "cls_", "cas_")
 _CLOSE = {")": "(", "]": "[", "}": "{"}
 
 _SKIP = re.compile(r"(?:[\s\ufeff]+|//[^\n\r\u2028\u2029]*|/\*[^*]*\*+(?:[^/*][^*]*\*+)*/)+")
 _TOK = re.compile(
-    r"""(#?(?:[^\W\d]|[$]|\\u[0-9a-fA-F]{4}|\\u\{[0-9a-fA-F]+\})(?:[\w$\u200c\u200d]|\\u[0-9a-fA-F]{4}|\\u\{[0-9a-fA-F]+\})*)|(>>>=|\.\.\.|===|!==|\*\*=|<<=|>>=|>>>|&&=|\|\|=|\?\?=|=>|==|!=|<=|>=|&&|\|\||\?\?|\?\.(?!\d)|\+\+|--|\+=|-=|\*=|/=|%=|&=|\|=|\^=|<<|>>|\*\*|\.(?!\d)|[{}()\[\];,<>+\-*/%&|^!~?:=])|(0[xX][0-9a-fA-F]+(?:_[0-9a-fA-F]+)*n?|0[oO][0-7]+(?:_[0-7]+)*n?|0[bB][01]+(?:_[01]+)*n?|(?:[0-9]+(?:_[0-9]+)*)?\.[0-9]+(?:_[0-9]+)*(?:[eE][+-]?[0-9]+(?:_[0-9]+)*)?|[0-9]+(?:_[0-9]+)*n|[0-9]+(?:_[0-9]+)*\.?(?:[eE][+-]?[0-9]+(?:_[0-9]+)*)?)|('(?:[^'\\\n\r]|\\(?:\r\n|[\s\S]))*'|"(?:[^"\\\n\r]|\\(?:\r\n|[\s\S]))*")|(`)"""
+    r"""(#?(?:[^\W\d]|[$]|\\u[0-9a-fA-F]{4}|\\u\{[0-9a-fA-F]+\})(?:[\w$\u200c\u200d]|\\u[0-9a-fA-F]{4}|\\u\{[0-9a-fA-F]+\})*)|(>>>=|\.\.\.|===|!==|\*\*=|<<=|>>=|>>>|&&=|\|\|=|\?\?=|=>|==|!=|<=|>=|&&|\|\||\?\?|\?\.(?!\d)|\+\+|--|\+=|-=|\*=|/=|%=|&=|\|=|\^=|<<|>>|\*\*|\.(?!\d)|[{}()\[\];,<>+\-*/%&|^!~?:=])|(0[xX][0-9a-fA-F]+(?:_[0-9a-fA-F]+)*n?|0[oO][0-7]+(?:_[0-7]+)*n?|0[bB][01]+(?:_[01]+)*n?|0[0-7]+(?![0-9])|0[0-9]+(?:\.[0-9]*)?(?:[eE][+-]?[0-9]+)?|\.[0-9]+(?:_[0-9]+)*(?:[eE][+-]?[0-9]+(?:_[0-9]+)*)?|(?:0|[1-9](?:_?[0-9])*)n|(?:0|[1-9](?:_?[0-9])*)(?:\.(?:[0-9]+(?:_[0-9]+)*)?)?(?:[eE][+-]?[0-9]+(?:_[0-9]+)*)?)|('(?:[^'\\\n\r]|\\(?:\r\n|[\s\S]))*'|"(?:[^"\\\n\r]|\\(?:\r\n|[\s\S]))*")|(`)"""
 )
 _REGEX = re.compile(r"/(?![*/])((?:[^/\\\[\n\r\u2028\u2029]|\\[^\n\r\u2028\u2029]|\[(?:[^\]\\\n\r\u2028\u2029]|\\[^\n\r\u2028\u2029])*\])+)/([A-Za-z0-9_$]*)")
 _BAD_ESCAPE = re.compile(r"\\(?:x(?![0-9a-fA-F]{2})|u(?![0-9a-fA-F]{4}|\{0*(?:10)?[0-9a-fA-F]{1,5}\}))")
+_OCTAL = re.compile(r"0[0-7]+$")
+_GROUP = re.compile(r"\(\?<([^=!>][^>]*)>")
 _ESCAPED = re.compile(r"\\[^xu]")
 _PUNCT = {"+": "SIGN", "-": "SIGN", "!": "PRE", "~": "PRE", "*": "STAR", "++": "INC", "--": "INC"}
-_PUNCT |= {o: "BINOP" for o in ("/", "%", "**", "<<", ">>", ">>>", "<", ">", "<=", ">=", "==", "!=", "===", "!==", "&", "|", "^", "&&", "||", "??")}
+_PUNCT |= {o: "BINOP" for o in ("/", "%", "<<", ">>", ">>>", "<", ">", "<=", ">=", "==", "!=", "===", "!==", "&", "|", "^")} | {"&&": "LOGIC", "||": "LOGIC"}
 _PUNCT |= {o: "ASSIGNOP" for o in ("+=", "-=", "*=", "/=", "%=", "**=", "<<=", ">>=", ">>>=", "&=", "|=", "^=", "&&=", "||=", "??=")}
 #: Kinds before which a line end may stand for a semicolon, and words that go on with a statement.
 _LATER = frozenset(("in", "instanceof", "extends"))
@@ -120,11 +137,11 @@ _OPEN_ENDED = frozenset(RESERVED - {"break", "continue", "debugger", "false", "n
 
 
 def _can_end(k: str) -> bool:
-    return k not in _OPEN_ENDED and (k[0].isalpha() or k[0] in "([{") and k not in ("BINOP", "SIGN", "STAR", "PRE", "ASSIGNOP", "NLS")
+    return k not in _OPEN_ENDED and (k[0].isalpha() or k[0] in "([{") and k not in ("BINOP", "LOGIC", "SIGN", "STAR", "PRE", "ASSIGNOP", "NLS")
 
 
 def _can_start(k: str) -> bool:
-    return k[0] == "{" or k in ("INC", "PRE", "TPL?") or (k[0].isalpha() and k not in _LATER and k not in ("BINOP", "SIGN", "STAR", "ASSIGNOP", "TPL", "NLS"))
+    return k[0] == "{" or k in ("INC", "PRE", "TPL?") or (k[0].isalpha() and k not in _LATER and k not in ("BINOP", "LOGIC", "SIGN", "STAR", "ASSIGNOP", "TPL", "NLS"))
 
 
 def _segments(kinds: list[str]) -> list[list[str]]:
@@ -141,16 +158,16 @@ def _segments(kinds: list[str]) -> list[list[str]]:
     return out
 
 
-def _close(opening: str, kinds: list[str]) -> str:
-    """The kind of the group between two brackets."""
-    inner = tuple(kinds) if opening == "{" and (";" in kinds or "NLS" in kinds) else folded(kinds)
-    key = (opening, inner)
+def _close(opening: str, kinds: list[str], head: bool = False) -> str:
+    """The kind of the group between two brackets; ``head``: those behind ``for``."""
+    inner = tuple(kinds)
+    key = (opening, inner, head)
     made = _GROUPS.get(key)
     if made is None:
         if opening == "(":
-            caps = JS.known(_PAREN, inner)
+            caps = JS.known(("head_",), inner) if head else JS.listed(_PAREN, inner)
         elif opening == "[":
-            caps = JS.known(_BRACKET, inner)
+            caps = JS.listed(_BRACKET, inner)
         else:
             caps = frozenset(_SEGS)
             for seg in _segments(kinds):
@@ -161,7 +178,7 @@ def _close(opening: str, kinds: list[str]) -> str:
             if first not in ("case", "default"):
                 caps -= {"cas_"}
             if ";" not in kinds:
-                caps |= JS.known(_BRACE, tuple(k for k in inner if k != "NLS"))
+                caps |= JS.listed(_BRACE, tuple(k for k in inner if k != "NLS"))
         if not caps:
             raise Invalid("group")
         names = frozenset(_NAMES.get(c, c[:-1]) for c in caps) | (frozenset(("BR",)) if opening == "{" else frozenset())
@@ -173,6 +190,9 @@ def _close(opening: str, kinds: list[str]) -> str:
 
 def _regex_body(body: str, flags: str) -> None:
     """The errors of a pattern that any reader sees: flags, unbalanced groups, a quantifier of nothing."""
+    names = _GROUP.findall(re.sub(r"\\.|\[(?:[^\]\\]|\\.)*\]", "a", body))
+    if len(names) > len(set(names)):
+        raise Invalid("regex")
     if len(set(flags)) < len(flags) or not set(flags) <= set("dgimsuyv") or {"u", "v"} <= set(flags):
         raise Invalid("regex")
     bare = re.sub(r"\\.|\[(?:[^\]\\]|\\.)*\]", "a", body)
@@ -185,9 +205,30 @@ def _regex_body(body: str, flags: str) -> None:
         raise Invalid("regex")
 
 
+def _in_loop(cur: list[str], heads: tuple[str, ...]) -> bool:
+    """Does the statement that comes next, after the kinds read so far, stand right under a head such as ``for (...)``?"""
+    i = len(cur) - 1
+    while i >= 0:
+        k = cur[i]
+        if k == "do":
+            return True
+        if k[0] == "(" and i and (cur[i - 1] in heads or cur[i - 1] in ("AWAIT", "await0")):
+            return True
+        if k[0] == "(" and i and cur[i - 1] in ("if", "with", "switch"):
+            i -= 2
+        elif k == ":" and i and cur[i - 1] in ("NAME", "await0", "YIELD"):
+            i -= 2
+        elif k == "NLS" or k == "try":
+            i -= 1
+        else:
+            # behind an else the head may lie far back; any in this list of statements is taken for it
+            return k in ("else", "finally", "catch") or (k[0] == "(" and i > 0 and cur[i - 1] == "catch") if any(h in ("do", *heads) for h in cur[:i]) else False
+    return False
+
+
 class _Reader:
     def __init__(self, text: str):
-        self.text, self.pos = text, 0
+        self.text, self.pos, self.html = text, 0, False
 
     def template(self, frame: tuple) -> None:
         """Skip a template literal whose opening has been read."""
@@ -202,7 +243,7 @@ class _Reader:
             elif c == "$" and t[self.pos + 1 : self.pos + 2] == "{":
                 self.pos += 2
                 kinds = self.tokens(frame)
-                if not JS.known(("whole",), folded(kinds)):
+                if not JS.known(("whole",), tuple(kinds)):
                     raise Invalid("template")
             else:
                 self.pos += 1
@@ -212,11 +253,12 @@ class _Reader:
         """Kinds of the whole text, or (``within`` a function's flags) of a substitution up to its closing brace."""
         text, n = self.text, len(self.text)
         skip, match, punct = _SKIP.match, _TOK.match, _PUNCT.get
-        # a frame: opening, outer kinds, (in a function, async, generator), was the last group a condition?
-        ctx = within or (False, False, False)
+        # a frame: opening, outer kinds, (in a function, async, generator, in a loop, in a loop or switch), opening around
+        ctx = within or (False, False, False, False, False)
         stack: list[tuple] = []
         cur: list[str] = []
         opening = "{" if within is None else "("
+        started = False
         while True:
             m = skip(text, self.pos)
             line = False
@@ -225,6 +267,13 @@ class _Reader:
                 line = "\n" in gap or "\r" in gap or "\u2028" in gap or "\u2029" in gap
                 self.pos = m.end()
             pos = self.pos
+            if text.startswith("<!--", pos) or ((line or not cur and not stack and within is None) and text.startswith("-->", pos)):
+                # comments of web pages, which only scripts have
+                self.html = True
+                self.pos = min(x for x in (n, *(text.find(e, pos) for e in "\n\r\u2028\u2029")) if x >= 0)
+                started = line or started
+                continue
+            line, started = line or started, False
             if pos >= n:
                 if stack or within is not None:
                     raise Invalid("end")
@@ -266,6 +315,8 @@ class _Reader:
                     k = "NAME"
                 elif w in RESERVED:
                     k = "return!" if w == "return" and not ctx[0] else w
+                    if opening == "{" and (w == "break" and not (ctx[4] or _in_loop(cur, ("for", "while", "switch"))) or w == "continue" and not (ctx[3] or _in_loop(cur, ("for", "while")))):
+                        k += "!"
                 elif w in CONTEXT:
                     k = w
                 elif w == "await":
@@ -284,14 +335,17 @@ class _Reader:
                         raise Invalid("bracket")
                     if stack[-1][0] != _CLOSE[w]:
                         raise Invalid("bracket")
-                    made = _close(w and _CLOSE[w], cur)
+                    outer = stack[-1][1]
+                    made = _close(_CLOSE[w], cur, bool(outer) and (outer[-1] == "for" or outer[-1] in ("AWAIT", "await0") and outer[-2:-1] == ["for"]))
                     _, cur, ctx, opening = stack.pop()
+                    if w == "]" and cur and cur[-1] == "let" and opening == "{" and (len(cur) < 2 or cur[-2] in (";", "NLS", "do", "else") or cur[-2][0] in "{(:"):
+                        cur[-1] = "let["
                     cur.append(made)
                     continue
                 k = "{" if w == "{" else punct(w, w)
             elif i == 3:
                 after = text[self.pos : self.pos + 1]
-                if after.isalnum() or after in ("_", "$") and after:
+                if after.isalnum() or (after and after in "_$") or (after == "." and _OCTAL.match(w) and text[self.pos + 1 : self.pos + 2].isdigit()):
                     raise Invalid("number")
                 k = "NUMBER"
             elif i == 4:
@@ -319,12 +373,16 @@ class _Reader:
     @staticmethod
     def context(cur: list[str], ctx: tuple) -> tuple:
         """Flags inside a brace: those of a new function if it opens a body, else those around it."""
+        loop = ctx[3] or _in_loop(cur, ("for", "while"))
+        inner = (*ctx[:3], loop, loop or ctx[4] or _in_loop(cur, ("for", "while", "switch")))
         if not cur:
-            return ctx
+            return inner
         last = cur[-1]
+        if last == "static":
+            return (*ctx[:3], False, False)
         if last == "=>":
             at = len(cur) - 3
-            return (True, at >= 0 and cur[at] == "async", False)
+            return (True, at >= 0 and cur[at] == "async", False, False, False)
         if last[0] == "(" and len(cur) > 1 and cur[-2] not in _HEADS and cur[-2] not in ("AWAIT", "await0"):
             i = len(cur) - 2
             gen = False
@@ -334,8 +392,8 @@ class _Reader:
                 gen, i = True, i - 1
             if i >= 0 and cur[i] == "function":
                 i -= 1
-            return (True, i >= 0 and cur[i] == "async", gen)
-        return ctx
+            return (True, i >= 0 and cur[i] == "async", gen, False, False)
+        return inner
 
 
 def accepts(text: str) -> bool:
@@ -344,7 +402,9 @@ def accepts(text: str) -> bool:
         t = text.removeprefix("\ufeff")
         if t.startswith("#!"):
             t = re.sub(r"^#![^\n\r]*", "", t)
-        kinds = _Reader(t).tokens()
-        return all(JS.known(("top_",), tuple(s)) for s in _segments(kinds))
+        reader = _Reader(t)
+        kinds = reader.tokens()
+        goal = ("script_",) if reader.html else ("top_",)
+        return all(JS.known(goal, tuple(s)) for s in _segments(kinds))
     except Invalid:
         return False

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import unicodedata
 
-from .gll import MEMORY, Grammar, Invalid, folded
+from .gll import MEMORY, Grammar, Invalid
 
 # fixed values: the language's words and operators
 HARD = frozenset("False None True and as assert async await break class continue def del elif else except finally for from global if import in is lambda nonlocal not or pass raise return try while with yield".split())
@@ -148,7 +148,7 @@ case_: case_h BLK | case_i
 # statements are recognised over line classes: there the names of line classes are terminals
 _LINES = ["S", "deco", *(f"{x}_{y}" for x in "if elif else for while try exc excs fin with def class case".split() for y in "hi"), "match_h"]
 _SOURCE, _BLOCKS = GRAMMAR[: GRAMMAR.index("stmt:")], GRAMMAR[GRAMMAR.index("stmt:") :]
-_INNER = {"(": ("args_", "grp_", "params_", "imp_", "withs_", "tgt_", "sgl_", "dtgt_", "patp_", "patargs_"), "[": ("lst_", "sub_", "tps_", "patl_", "tgt_", "dtgt_"), "{": ("dct_", "set_", "patm_")}
+_INNER = {"(": ("args_", "grp_", "imp_", "withs_", "tgt_", "sgl_", "dtgt_", "patp_", "patargs_"), "[": ("lst_", "sub_", "tps_", "patl_", "tgt_", "dtgt_"), "{": ("dct_", "set_", "patm_")}
 _CLOSE = {")": "(", "]": "[", "}": "{"}
 
 _TOK = re.compile(
@@ -166,7 +166,10 @@ _LEAD = re.compile(r"[ \t\f]*")
 _OLD = re.compile(r"0[0-9_]*[1-9]$|00*[1-9][0-9_]*$")
 _AFTER = re.compile(r"(?:and|else|for|if|in|is|not|or)\b")
 
-PY = Grammar(_SOURCE, SOFT)
+_ITEMS = ("pos", "kw1", "kw2", "starn", "named", "dict1", "slice", "mstar", "pattern", "pitem", "parg", "datom", "target", "asname", "withitem", "tp")
+#: Words behind which a comma may belong to an item.
+_COMMAS = ("lambda", "for", "yield")
+PY = Grammar(_SOURCE, SOFT, _ITEMS)
 _GROUPS: dict[tuple, str] = {}
 BLOCKS = Grammar(_BLOCKS)
 
@@ -322,11 +325,14 @@ class _Reader:
                     if not stack or stack[-1][0] != _CLOSE[op]:
                         raise Invalid("bracket")
                     opening, outer = stack.pop()
-                    inner = folded(cur)
+                    inner = tuple(cur)
                     key = (opening, inner)
                     made = groups.get(key)
                     if made is None:
-                        caps = PY.known(_INNER[opening], inner)
+                        whole = any(w in inner for w in _COMMAS)
+                        caps = (PY.known if whole else PY.listed)(_INNER[opening], inner)
+                        if opening == "(":
+                            caps |= PY.known(("params_",), inner)
                         if not caps:
                             raise Invalid("group")
                         if len(groups) > MEMORY:
