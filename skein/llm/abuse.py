@@ -22,7 +22,7 @@ from zlib import crc32
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.tables import clean_source
@@ -30,9 +30,13 @@ from ..sources.tables import clean_source
 LAMBDA = 0.6
 REACH = 5
 A = 32
-#: At most so many rated documents of each class train the model, chosen by hash of their id.
-MAX_POSITIVE, MAX_NEGATIVE = 2500, 5000
+#: Bounds of the training sample (scoring has none): rated documents of each class, chosen by hash of their id, and
+#: characters of all of them together, whole documents being left out behind that.
+MAX_POSITIVE, MAX_NEGATIVE, MAX_CHARS = 2500, 5000, 40_000_000
 LANDMARKS = 500
+#: Bounds within the training sample: passages that landmarks are chosen from, ordinary negative passages of the first
+#: round (at least; four for each positive one) and of later ones, and hardest negatives that are kept.
+POOL, FIRST_NEGATIVES, LATER_NEGATIVES, HARD_NEGATIVES = 2500, 8000, 6000, 12000
 #: Documents that score above this are flagged; ``calibrated`` puts it into the gap between the two kinds.
 THRESHOLD = 0.0
 #: When the threshold is set, a flagged document rated clean costs as much as so many flagged ones rated abusive gain.
@@ -50,7 +54,8 @@ _PATTERNS = [(a, b, c, LAMBDA ** (c - 3)) for a, b, c in combinations(range(1, R
 _LOOKALIKE = str.maketrans("асеорхукітвнмѕԁјһӏαοερτνικυ", "aceopxykitbhmsdjhlaoeptvikuu"[:27])
 _LEET = str.maketrans("0134578@$!|€", "oieastbasile")
 _INVISIBLE = re.compile("[­͏؜ᅟᅠ឴឵᠋-᠎​-‏‪-‮⁠-⁯︀-️﻿]")
-_CODE = re.compile(r"`[^`\n]*`|\b\w+\(\)|(?P<snake>\b[A-Za-z]+(?:_[A-Za-z0-9@$!|€]+)+(?!\w))|(?P<camel>\b[a-z]+(?:[A-Z][a-z0-9]+)+\b)|https?://\S+|#\w+")
+_CODE = re.compile(r"`(?P<quoted>[^`\n]*)`|\b\w+\(\)|(?P<snake>\b[A-Za-z]+(?:_[A-Za-z0-9@$!|€]+)+(?!\w))|(?P<camel>\b[a-z]+(?:[A-Z][a-z0-9]+)+\b)|https?://\S+|#\d\w*")
+_WORDS = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*(?:[ ,;:!?.]+[^\W\d_]+(?:['’-][^\W\d_]+)*)*[ !?.]*")
 _HUMP = re.compile(r"[A-Z]?[a-z0-9]+")
 _LETTERED = re.compile(r"[0134578@$!|€]+(?=[^\W\d_])")
 _DIGITS = re.compile(r"\d+")
@@ -73,8 +78,11 @@ def _letters(m: re.Match) -> str:
 
 
 def _named(m: re.Match) -> str:
-    """A name of code as ``#``; but a word spelled with ``_`` or in mixed case, known by its short parts, as that word."""
+    """A name of code as ``#``; but a word spelled with ``_`` or in mixed case, known by its short parts, as that word,
+    and quoted plain words as they are."""
     t = m.group()
+    if m.lastgroup == "quoted" and _WORDS.fullmatch(m["quoted"]):
+        return f" {m['quoted']} "
     if m.lastgroup == "snake":
         parts = t.split("_")
         if len(parts) > 2 and (sum(len(p) == 1 for p in parts) > 2 or max(map(len, parts)) < 3):
@@ -102,8 +110,9 @@ def plain(text: str) -> str:
 
 
 def passages(text: str) -> list[str]:
-    """The sentences of a text, in plain letters, without empty ones and repeats."""
-    return list(dict.fromkeys(p for s in _SPLIT.split(text) if s and (p := plain(s)) and len(p) > 3))
+    """The sentences of a text, in plain letters, without empty ones and repeats; short ones with blanks around, so that
+    the kernel finds its four characters."""
+    return list(dict.fromkeys(p if len(p) > 4 else f" {p} " for s in _SPLIT.split(text) if s and (p := plain(s))))
 
 
 def encode(items: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -126,7 +135,8 @@ _VOID = (_VOID % A == 0) | (_VOID // A % A == 0) | (_VOID // A**2 % A == 0) | (_
 
 
 def norm(length: np.ndarray) -> np.ndarray:
-    """Root of the summed squared weights of all subsequences of a passage."""
+    """The length that a passage's score is divided by: the root of the summed squared weights of its occurrences, plus a
+    constant against very short passages. (Not K(x, x), which would count equal subsequences together.)"""
     n = np.asarray(length, np.float64)
     return np.sqrt(sum(w * w * np.maximum(n - c, 0) for _, _, c, w in _PATTERNS) + 20.0)
 
@@ -218,8 +228,8 @@ def _features(items: list[str], known: np.ndarray | None = None) -> list[tuple[n
     return out
 
 
-def spread(items: list[str], n: int, pool: int = 2500) -> list[str]:
-    """``n`` items that cover the others: each next one is that least like any chosen so far."""
+def spread(items: list[str], n: int, pool: int = POOL) -> list[str]:
+    """``n`` items that cover the first ``pool`` ones: each next one is that least like any chosen so far."""
     items = items[:pool]
     if len(items) <= n:
         return items
@@ -332,7 +342,7 @@ def train(texts: list[str], toxic: list[int], landmarks: int = LANDMARKS, rounds
 
     inst = [(p, 1, 1.0 / len(d)) for d, t in zip(docs, y) if t for p in d if not common(p)]
     ns = list({p: None for d, t in zip(docs, y) if not t for p in d})
-    ns = [ns[i] for i in rng.permutation(len(ns))[: max(8000, 4 * len(inst))]]
+    ns = [ns[i] for i in rng.permutation(len(ns))[: max(FIRST_NEGATIVES, 4 * len(inst))]]
     weigh = lambda p: min(WEIGHTIEST, max(1.0, 0.5 + 0.5 * int(in_neg[at(p)])))
     inst += [(p, -1, weigh(p)) for p in ns]
     hard: dict[str, float] = {}
@@ -373,8 +383,8 @@ def train(texts: list[str], toxic: list[int], landmarks: int = LANDMARKS, rounds
         if not positives:
             break
         # the hardest negatives of all rounds, and ordinary ones beside them
-        hs = [h for h in sorted(hard, key=lambda h: -hard[h]) if h][:12000]
-        inst = positives + [(p, -1, weigh(p)) for p in hs] + [(p, -1, weigh(p)) for p in ns[:6000]]
+        hs = [h for h in sorted(hard, key=lambda h: -hard[h]) if h][:HARD_NEGATIVES]
+        inst = positives + [(p, -1, weigh(p)) for p in hs] + [(p, -1, weigh(p)) for p in ns[:LATER_NEGATIVES]]
     return model
 
 
@@ -400,13 +410,30 @@ def rated(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return d.join(votes.select("doc_id", F.col("hi").alias("toxic")), "doc_id").dropDuplicates(["doc_id"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE, max_negative: int = MAX_NEGATIVE) -> Model:
-    """Train on a bounded sample of rated documents (the bounds are per class, chosen by hash of the id)."""
+def fit(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE, max_negative: int = MAX_NEGATIVE, max_chars: int = MAX_CHARS) -> Model:
+    """Train on a bounded sample of rated documents: per class by hash of the id, and in total by characters.
+
+    The sample goes to one task of the cluster, whose bounds make its memory known; only the folded model, a table of
+    fixed size, comes to the driver. If the task is lost it runs again and gives the same model.
+    """
     r = rated(docs, labels)
     take = lambda t, n: r.where(F.col("toxic") == t).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
-    rows = take(1, max_positive).unionByName(take(0, max_negative)).select("doc_id", "text", "toxic").collect()
-    rows.sort(key=lambda x: (x["toxic"], x["doc_id"]))
-    return train([x["text"] for x in rows], [int(x["toxic"] > 0) for x in rows])
+    rows = take(1, max_positive).unionByName(take(0, max_negative)).select("doc_id", "text", "toxic")
+    upto = F.sum(F.char_length("text")).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))
+    rows = rows.withColumn("upto", upto).where(F.col("upto") <= max_chars)
+
+    def run(batches):
+        held = list(batches)
+        if not held:
+            return
+        sample = pd.concat(held, ignore_index=True).sort_values(["toxic", "doc_id"])
+        m = train(sample["text"].tolist(), [int(t > 0) for t in sample["toxic"]])
+        yield pd.DataFrame({"table": [m.table.tobytes()], "bias": [m.bias]})
+
+    made = rows.select("doc_id", "text", "toxic").coalesce(1).mapInPandas(run, "table binary, bias double").collect()
+    if not made:
+        return train([], [])
+    return Model(np.frombuffer(made[0]["table"], np.float32), made[0]["bias"])
 
 
 def score_documents(docs: DataFrame, model: Model) -> DataFrame:
