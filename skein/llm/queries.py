@@ -32,6 +32,10 @@ def p6_fill(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill_report(p6_containers(spark, d), table(spark, d, "container_specs"))
 
 
+def p6_checks(spark: SparkSession, d: str) -> DataFrame:
+    return packing.checks(table(spark, d, "documents"), p6_containers(spark, d), table(spark, d, "container_specs"))
+
+
 def p7_uses(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[0]
 
@@ -63,7 +67,7 @@ def p8_rates(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "p2_found": p2_found, "p2_pieces": p2_pieces, "p3_found": p3_found, "p3_rates": p3_rates, "p5_scores": p5_scores, "p5_top_terms": p5_top_terms,
-    "p6_containers": p6_containers, "p6_fill": p6_fill, "p7_uses": p7_uses, "p7_shares": p7_shares,
+    "p6_containers": p6_containers, "p6_fill": p6_fill, "p6_checks": p6_checks, "p7_uses": p7_uses, "p7_shares": p7_shares,
     "p8_found": p8_found, "p8_scores": p8_scores, "p8_rates": p8_rates,
 }
-ORACLE = {**splitting.SQL, **terms.SQL}
+ORACLE = {**splitting.SQL, **terms.SQL, **packing.SQL}
