@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -22,6 +23,7 @@ def build_session(app: str = "skein", cpus: str | int = "*", **conf: str) -> Spa
         "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": "8g",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     }
     for k, v in (base | conf).items():
         b = b.config(k, v)
@@ -31,23 +33,55 @@ def build_session(app: str = "skein", cpus: str | int = "*", **conf: str) -> Spa
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; one of this machine only where that is unset (tests)."""
+    """The folder of ``spark.checkpoint.dir``. Where that is unset a local session, whose executors share this machine,
+    gets one of its own; on a cluster it is an error, for no folder of one machine would be seen by all."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     jsc = spark.sparkContext._jsc.sc()
     if not jsc.getCheckpointDir().isDefined():
+        if found is None and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(found or os.path.join(tempfile.gettempdir(), "skein-checkpoints"))
     return found or jsc.getCheckpointDir().get()
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` once in the shared folder, so that later uses neither recompute nor lose it."""
+    """Materialise ``df`` once in the shared folder, so that later uses neither recompute nor lose it.
+
+    ``spark.cleaner.referenceTracking.cleanCheckpoints`` (set by ``build_session``) removes it when nothing uses it.
+    """
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder for a table written between stages."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+def scratch_dir(spark: SparkSession) -> str:
+    """The part of the shared folder that this application's written tables lie in."""
+    return f"{shared_dir(spark).rstrip('/')}/skein-{spark.sparkContext.applicationId}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``cut`` as a compressed Parquet table: for wide intermediate results that are read in part or several times.
+
+    ``release`` removes these tables; the driver does so when it ends.
+    """
+    spark = df.sparkSession
+    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    if spark.sparkContext.applicationId not in _scratch:
+        _scratch.add(spark.sparkContext.applicationId)
+        atexit.register(release, spark)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+_scratch: set[str] = set()
+
+
+def release(spark: SparkSession) -> None:
+    """Remove all tables that ``written`` made in this application. A session that has ended is left alone."""
+    try:
+        path = spark._jvm.org.apache.hadoop.fs.Path(scratch_dir(spark))
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    except Exception:  # noqa: BLE001 the gateway may be gone at exit
+        pass
 
 
 def plan_bytes(df: DataFrame) -> int:
