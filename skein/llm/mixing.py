@@ -21,8 +21,9 @@ from ..session import cut
 from ..sources.tables import clean_source
 from .tokens import count_tokens
 
-#: Documents of one source and length that are ranked together when copies are dealt.
-CELL = 10_000
+#: Documents of one source and length that are ranked together when copies are dealt. Cells above that are split, if
+#: they hold at least one in ``SPLIT`` documents; so there are at most ``SPLIT`` such cells, whatever the data.
+CELL, SPLIT = 10_000, 2_000
 
 
 def _lit_map(values: dict[str, float]):
@@ -52,7 +53,6 @@ def solve(cells: DataFrame, targets: dict[str, tuple[float, int]], total: float
         todo = {s: p["lam"] for s, p in plan.items() if math.isfinite(p["lam"]) and not p.get("done")}
         if not todo:
             break
-        # two more points around each multiplier bracket the root, so that few rounds are needed
         x = F.col("n_tokens") / _lit_map({s: plan[s]["mean"] for s in todo})[F.col("source")]
         cap = _lit_map({s: plan[s]["cap"] for s in todo})[F.col("source")]
         lam = _lit_map(todo)[F.col("source")]
@@ -82,7 +82,7 @@ def mix(docs: DataFrame, targets: DataFrame, total: float | None = None) -> tupl
     """
     want = {r["source"]: (float(r["target_share"] or 0), int(r["max_repeats"] or 0)) for r in targets.select(clean_source(F.col("source")).alias("source"), "target_share", "max_repeats").collect()}
     sized = cut(docs.select("doc_id", clean_source(F.col("source")).alias("source"), count_tokens(F.col("text")).alias("n_tokens")))
-    cells = sized.groupBy("source", "n_tokens").agg(F.count("*").alias("n"))
+    cells = cut(sized.groupBy("source", "n_tokens").agg(F.count("*").alias("n")))
     plan = solve(cells, want, total)
 
     def per(name: str, other: float):
@@ -91,11 +91,13 @@ def mix(docs: DataFrame, targets: DataFrame, total: float | None = None) -> tupl
     cap, lam = per("cap", 0.0), per("lam", 0.0)
     x = F.col("n_tokens") / per("mean", 1.0)
     rate = F.when(F.col("n_tokens") == 0, F.least(cap, F.lit(1.0))).when(lam == math.inf, cap).otherwise(F.least(cap, F.exp(F.least(lam * x, F.lit(700.0)))))
-    # deal the copies: cells of one source and length, split by hash where they are large, in order of length
-    slots = F.greatest(F.lit(1), F.ceil(F.col("n") / CELL)).cast("int")
-    small = cells.select(F.col("source").alias("cs"), F.col("n_tokens").alias("ct"), slots.alias("slots"), rate.alias("rate"))
+    # deal the copies: cells of one source and length, split by hash where they are large, in order of length; the
+    # large cells are at most SPLIT rows, so they go to every task
+    n_docs = cells.agg(F.sum("n")).first()[0] or 0
+    large = cells.where(F.col("n") > max(CELL, n_docs / SPLIT)).select(F.col("source").alias("cs"), F.col("n_tokens").alias("ct"), F.ceil(F.col("n") / CELL).cast("int").alias("slots"))
     same_cell = F.col("source").eqNullSafe(F.col("cs")) & (F.col("n_tokens") == F.col("ct"))
-    placed = sized.join(small, same_cell).select("doc_id", "source", "n_tokens", "rate", F.pmod(F.xxhash64("doc_id"), F.col("slots")).alias("slot"))
+    slot = F.coalesce(F.pmod(F.xxhash64("doc_id"), F.col("slots")), F.lit(0))
+    placed = sized.join(F.broadcast(large), same_cell, "left").select("doc_id", "source", "n_tokens", rate.alias("rate"), slot.alias("slot"))
     cell = ["source", "n_tokens", "slot"]
     groups = placed.groupBy(*cell).agg(F.count("*").alias("n"), F.max("rate").alias("rate"))
     run = F.sum(F.col("n") * F.col("rate")).over(Window.partitionBy("source").orderBy("n_tokens", "slot").rowsBetween(Window.unboundedPreceding, 0))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import CODE_TOKENS_SQL, term_counts
-from ..session import cut
+from ..session import cut, written
 
 MU = 200.0
 MIN_DF = 2
@@ -24,7 +24,7 @@ def term_scores(records: DataFrame, key: str, text: str, mu: float = MU, min_df:
 
     Records with equal keys are scored each for itself. The counts are written once to the shared folder.
     """
-    counted = cut(term_counts(records, key, text))
+    counted = written(term_counts(records, key, text), "terms")
     tf = counted.select(key, "dl", F.inline(F.arrays_zip(F.col("terms").alias("term"), F.col("tfs").alias("tf"))))
     stats = cut(tf.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")))
     total = stats.agg(F.sum("cf")).first()[0] or 1
