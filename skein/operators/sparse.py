@@ -4,9 +4,10 @@
 weighs ``idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len / avglen))`` in a document; a query's score is the sum over
 its terms, repeats counting, and only scores above 0 are results. Ties of the score rounded to six digits go by id.
 
-The idf goes to the query's terms, which are few, so documents need no join at all. Search pairs blocks of documents
-with blocks of queries and multiplies their matrices over the queries' words; only the best ``k`` of each query leave
-a pair. No term, however frequent, gathers rows anywhere.
+Search joins the terms of queries with postings, by term. Postings lie in blocks of documents, queries in blocks of
+queries, so that a joined row is one term with all its documents of one block and all its queries of another; the
+scores of a pair of blocks are summed where those rows meet, and only the best ``k`` of each query leave it. Terms
+that many documents hold are spread over several join keys, so that none gathers rows.
 """
 
 from __future__ import annotations
@@ -15,16 +16,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import term_counts
-from ..session import block_pairs, cut
+from ..session import cut, written
 
 # fixed values: the usual parameters
 K1, B, EPSILON = 1.5, 0.75, 0.25
-#: Queries in one block, and bytes of the matrix that a step of a pair may build.
-ASKED, STEP_BYTES = 64, 48 << 20
+#: Documents and queries in one block, and contributions that are added up in one step.
+HELD, ASKED, STEP = 4096, 512, 4_000_000
+#: Terms that at least one in HOT documents hold are spread; there are at most HOT x (mean terms a document).
+HOT, SPREAD = 200, 64
 
 
 @dataclass
@@ -54,7 +58,7 @@ class Bm25Index:
 
 def build(corpus: DataFrame, id_col: str, text: str) -> Bm25Index:
     """Index a corpus of unique ids; statistics cover exactly its documents, also those without a token."""
-    docs = cut(term_counts(corpus, id_col, text).withColumnRenamed(id_col, "id"))
+    docs = written(term_counts(corpus, id_col, text).withColumnRenamed(id_col, "id"), "bm25")
     sums = docs.agg(F.count("*").alias("n"), F.avg("dl").alias("avg")).first()
     df = docs.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     raw = cut(df.withColumn("raw", F.log(F.lit(sums["n"]) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)))
@@ -66,75 +70,107 @@ def build(corpus: DataFrame, id_col: str, text: str) -> Bm25Index:
 def search(index: Bm25Index, queries: DataFrame, query_id: str, text: str, k: int = 10) -> DataFrame:
     """``query_id, id, score, rank`` of the ``k`` best documents of every query; queries without a known term have none."""
     q = term_counts(queries.select(F.col(query_id).alias("query_id"), F.col(text).alias("query_text")), "query_id", "query_text")
-    q = q.select("query_id", F.inline(F.arrays_zip(F.col("terms").alias("term"), F.col("tfs").alias("qtf"))))
-    q = q.join(index.terms, "term").groupBy("query_id").agg(F.collect_list("term").alias("qterms"), F.collect_list((F.col("qtf") * F.col("idf")).cast("double")).alias("qw"))
-
-    def gather(batches):
-        held: list[pd.DataFrame] = []
-        for pdf in batches:
-            for a in range(0, len(pdf), ASKED):
-                held.append(pdf.iloc[a : a + ASKED])
-                if sum(map(len, held)) >= ASKED:
-                    yield block(pd.concat(held))
-                    held = []
-        if held:
-            yield block(pd.concat(held))
-
-    def block(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"qids": [pdf["query_id"].to_numpy()], "lens": [pdf["qterms"].map(len).to_numpy()], "qterms": [np.concatenate(pdf["qterms"].to_list())], "qw": [np.concatenate(pdf["qw"].to_list())]})
-
-    kind, doc_kind = queries.schema[query_id].dataType.simpleString(), index.docs.schema["id"].dataType.simpleString()
-    asked = q.mapInPandas(gather, f"qids array<{kind}>, lens array<long>, qterms array<string>, qw array<double>")
-    packed = _pack(index.docs.where("dl > 0"))
-    pairs = block_pairs(packed, asked, ["qterms", "qw"])
+    asked = _blocks(q, "query_id", ASKED, lambda tf, dl: tf.astype(np.float64), index.docs.sparkSession).withColumnsRenamed({"block": "qblock", "ids": "qids", "at": "qat", "w": "qw"})
     avg = index.avg_len
+    held = _blocks(index.docs.where("dl > 0").withColumnRenamed("id", "query_id"), "query_id", HELD, lambda tf, dl: tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avg)), index.docs.sparkSession)
+    n_docs = index.docs.count()
+    # a frequent term has a row in every block: its rows are dealt over as many keys as there are stretches of blocks
+    spread = max(1, -(-n_docs // (HELD * SPREAD)))
+    idf = index.terms.select("term", "idf", F.when(F.col("df") > max(n_docs / HOT, HELD), F.lit(spread)).otherwise(F.lit(1)).alias("spread"))
+    asked = asked.join(idf, "term").withColumn("key", F.explode(F.sequence(F.lit(0), F.col("spread") - 1)))
+    if spread > 1:
+        held = held.join(F.broadcast(idf.where("spread > 1").select("term", "spread")), "term", "left").withColumn("key", F.when(F.col("spread").isNotNull(), F.pmod(F.xxhash64("block"), F.lit(spread))).otherwise(0).cast("int")).drop("spread")
+    else:
+        held = held.withColumn("key", F.lit(0))
+    met = held.select("term", "key", "block", "ids", "at", "w").join(asked.select("term", "key", "qblock", "qids", "qat", "qw", "idf"), ["term", "key"])
+    kind, doc_kind = queries.schema[query_id].dataType.simpleString(), index.docs.schema["id"].dataType.simpleString()
+    scored = met.select("block", "qblock", "ids", "at", "w", "qids", "qat", "qw", "idf").groupBy("block", "qblock").applyInPandas(lambda pdf: _scores(pdf, k), f"query_id {kind}, id {doc_kind}, score double")
+    return top_k(scored, k)
 
-    def run(batches):
-        for pdf in batches:
-            for r in pdf.itertuples(index=False):
-                yield from _score(r, avg, k)
 
-    return top_k(pairs.mapInPandas(run, f"query_id {kind}, id {doc_kind}, score double"), k)
+def _blocks(counted: DataFrame, key: str, rows: int, weigh, spark: SparkSession) -> DataFrame:
+    """``term, block, ids, at, w``: a row for each term of a block of records, with the records that hold it."""
 
+    def pack(batches):
+        part, n = TaskContext.get().partitionId(), 0
+        held: list[pd.DataFrame] = []
 
-def _pack(docs: DataFrame, rows: int = 2048) -> DataFrame:
-    """Blocks of documents of one partition: ``ids, dls, sizes, terms, tfs``."""
+        def out() -> pd.DataFrame:
+            nonlocal n
+            pdf = pd.concat(held)
+            held.clear()
+            sizes = pdf["terms"].map(len).to_numpy()
+            if not sizes.sum():
+                return pd.DataFrame({"term": [], "block": [], "ids": [], "at": [], "w": []})
+            at = np.repeat(np.arange(len(pdf)), sizes)
+            w = weigh(np.concatenate(pdf["tfs"].to_list()), np.repeat(pdf["dl"].to_numpy(), sizes))
+            number, names = pd.factorize(np.concatenate(pdf["terms"].to_list()))
+            order = np.argsort(number, kind="stable")
+            cuts = np.cumsum(np.bincount(number))[:-1]
+            ids = pdf[key].to_numpy()[at]
+            n += 1
+            return pd.DataFrame({"term": names, "block": part * (1 << 24) + n, "ids": np.split(ids[order], cuts), "at": np.split(at[order].astype(np.int32), cuts), "w": np.split(w[order], cuts)})
 
-    def pack(batches):
         for pdf in batches:
             for a in range(0, len(pdf), rows):
-                p = pdf.iloc[a : a + rows]
-                yield pd.DataFrame({"ids": [p["id"].to_numpy()], "dls": [p["dl"].to_numpy()], "sizes": [p["terms"].map(len).to_numpy()], "terms": [np.concatenate(p["terms"].to_list())], "tfs": [np.concatenate(p["tfs"].to_list())]})
-
-    kind = docs.schema["id"].dataType.simpleString()
-    return docs.select("id", "dl", "terms", "tfs").mapInPandas(pack, f"ids array<{kind}>, dls array<long>, sizes array<long>, terms array<string>, tfs array<long>")
-
-
-def _score(r, avg: float, k: int):
-    words = {t: i for i, t in enumerate(dict.fromkeys(r.qterms))}
-    nq, nv = len(r.qids), len(words)
-    ask = np.zeros((nv, nq))
-    ask[[words[t] for t in r.qterms], np.repeat(np.arange(nq), r.lens)] = r.qw
-    col = np.fromiter((words.get(t, -1) for t in r.terms), np.int64, len(r.terms))
-    row = np.repeat(np.arange(len(r.ids)), r.sizes)
-    tf = np.asarray(r.tfs, np.float64)
-    norm = K1 * (1 - B + B * np.asarray(r.dls, np.float64) / avg)
-    ok = col >= 0
-    row, col, val = row[ok], col[ok], tf[ok] * (K1 + 1) / (tf[ok] + norm[row[ok]])
-    ids, qids = np.asarray(r.ids), np.asarray(r.qids)
-    step = max(1, STEP_BYTES // (8 * max(nv, 1)))
-    for a in range(0, len(ids), step):
-        mine = (row >= a) & (row < a + step)
-        part = ids[a : a + step]
-        m = np.zeros((len(part), nv))
-        m[row[mine] - a, col[mine]] = val[mine]
-        s = np.round((m @ ask).T, 6)
-        n = min(k, len(part))
-        order = np.argsort(part, kind="stable")
-        best = order[np.argsort(-s[:, order], axis=1, kind="stable")[:, :n]]
-        score = np.take_along_axis(s, best, 1)
-        out = pd.DataFrame({"query_id": np.repeat(qids, n), "id": part[best].ravel(), "score": score.ravel()})
-        yield out[out["score"] > 0]
+                if held and sum(map(len, held)) + len(pdf.iloc[a : a + rows]) > rows:
+                    yield out()
+                held.append(pdf.iloc[a : a + rows])
+        if held:
+            yield out()
+
+    kind = counted.schema[key].dataType.simpleString()
+    return counted.select(key, "dl", "terms", "tfs").mapInPandas(pack, f"term string, block long, ids array<{kind}>, at array<int>, w array<double>")
+
+
+def _scores(pdf: pd.DataFrame, k: int) -> pd.DataFrame:
+    """The ``k`` best documents of each query in one pair of blocks."""
+    nd, nq = pdf["at"].map(len).to_numpy(), pdf["qat"].map(len).to_numpy()
+    d_at, d_w, d_id = np.concatenate(pdf["at"].to_list()), np.concatenate(pdf["w"].to_list()), np.concatenate(pdf["ids"].to_list())
+    q_at, q_w, q_id = np.concatenate(pdf["qat"].to_list()), np.concatenate(pdf["qw"].to_list()) * np.repeat(pdf["idf"].to_numpy(), nq), np.concatenate(pdf["qids"].to_list())
+    ids, qids = np.empty(d_at.max() + 1, d_id.dtype), np.empty(q_at.max() + 1, q_id.dtype)
+    ids[d_at], qids[q_at] = d_id, q_id
+    there, asked = np.zeros(len(ids), bool), np.zeros(len(qids), bool)
+    there[d_at], asked[q_at] = True, True
+    s = np.zeros((len(qids), len(ids)))
+    start = np.concatenate([[0], np.cumsum(nd)[:-1]])
+    # terms of many documents and queries as one matrix product, the others by their pairs
+    heavy = (nd * nq > 20_000) & (nd * 8 > len(ids))
+    hot = np.flatnonzero(heavy)
+    q_start = np.concatenate([[0], np.cumsum(nq)[:-1]])
+    for a in range(0, len(hot), 256):
+        part = hot[a : a + 256]
+        m, q = np.zeros((len(part), len(ids))), np.zeros((len(qids), len(part)))
+        for i, t in enumerate(part):
+            m[i, d_at[start[t] : start[t] + nd[t]]] = d_w[start[t] : start[t] + nd[t]]
+            q[q_at[q_start[t] : q_start[t] + nq[t]], i] = q_w[q_start[t] : q_start[t] + nq[t]]
+        s += q @ m
+    entry = np.repeat(np.arange(len(pdf)), nq)
+    rest = np.flatnonzero(~heavy[entry])
+    sizes = nd[entry[rest]]
+    flat = s.reshape(-1)
+    ends = np.cumsum(sizes)
+    a = 0
+    while a < len(rest):
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + STEP)))
+        e, n = rest[a:b], sizes[a:b]
+        off = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(start[entry[e]], n)
+        cell = np.repeat(q_at[e].astype(np.int64) * len(ids), n) + d_at[off]
+        flat += np.bincount(cell, np.repeat(q_w[e], n) * d_w[off], len(flat))
+        a = b
+    pos, qpos = np.flatnonzero(there), np.flatnonzero(asked)
+    pos = pos[np.argsort(ids[pos], kind="stable")]
+    s = np.round(s[np.ix_(qpos, pos)], 6)
+    n = min(k, len(pos))
+    if n < len(pos):
+        # what is above the n-th score, and of that score the smallest ids
+        least = -np.partition(-s, n - 1, axis=1)[:, n - 1 : n]
+        above, level = s > least, s == least
+        keep = above | (level & (np.cumsum(level, axis=1) <= n - above.sum(axis=1, keepdims=True)))
+    else:
+        keep = np.ones(s.shape, bool)
+    i, j = np.nonzero(keep & (s > 0))
+    return pd.DataFrame({"query_id": qids[qpos[i]], "id": ids[pos[j]], "score": s[i, j]})
 
 
 def top_k(scored: DataFrame, k: int) -> DataFrame:
