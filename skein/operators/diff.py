@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
 from .ranking import spread_row_number
 
 KEY = ["file_path", "qualname", "ordinal"]
@@ -27,7 +28,7 @@ def diff_snippets(old: DataFrame, new: DataFrame, group: list[str] | None = None
     n = new.select(*group, *KEY, F.struct(*cols).alias("n"))
     both = o.join(n, [*group, *KEY], "full_outer")
     kind = F.when(F.col("o").isNull(), "fresh").when(F.col("n").isNull(), "gone").when(F.col("o.snippet_id").eqNullSafe(F.col("n.snippet_id")), "unchanged").otherwise("modified")
-    both = both.select(*group, "o", "n", kind.alias("c"))
+    both = cut(both.select(*group, "o", "n", kind.alias("c")))
     kept = both.where("c in ('unchanged', 'modified')").withColumnRenamed("c", "change_class")
 
     def side(c: str, s: str) -> DataFrame:

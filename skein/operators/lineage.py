@@ -10,12 +10,14 @@ from __future__ import annotations
 import difflib
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .ranking import spread_row_number
 
 PLACE = ["file_path", "qualname", "ordinal"]
+# fixed value: the note in place of a diff
+GONE = "unavailable: the stored text of a version was removed by vacuum()"
 
 
 def between(rows: DataFrame, lo: int, hi: int) -> DataFrame:
@@ -29,22 +31,28 @@ def as_of(rows: DataFrame, seq: int) -> DataFrame:
     return between(rows, seq, seq)
 
 
-def groups(rows: DataFrame, extra: list[str] | None = None) -> DataFrame:
-    """Per lineage: number of versions, their starts in order, and the latest row's id and place."""
+def groups(rows: DataFrame, extra: list[str] | None = None, show: tuple[str, ...] = (), label: str = "seq_added") -> DataFrame:
+    """Per lineage: number of versions, the ``label`` of their starts in order, and the latest row's id, place and ``show``."""
     extra = extra or []
-    last = F.max_by(F.struct("row_id", "snippet_id", *PLACE, "seq_removed"), F.struct("seq_added", "row_id"))
-    g = rows.groupBy(*extra, "lineage_id").agg(F.count("*").alias("n_versions"), F.sort_array(F.collect_list("seq_added")).alias("versions"), last.alias("l"))
-    return g.select(*extra, "lineage_id", "n_versions", "versions", *[F.col(f"l.{c}").alias(c) for c in ("row_id", "snippet_id", *PLACE, "seq_removed")])
+    shown = ("row_id", "snippet_id", *PLACE, "seq_removed", *show)
+    last = F.max_by(F.struct(*shown), F.struct("seq_added", "row_id"))
+    order = F.sort_array(F.collect_list(F.struct("seq_added", "row_id", F.col(label).alias("label"))))
+    g = rows.groupBy(*extra, "lineage_id").agg(F.count("*").alias("n_versions"), order["label"].alias("versions"), last.alias("l"))
+    return g.select(*extra, "lineage_id", "n_versions", "versions", *[F.col(f"l.{c}").alias(c) for c in shown])
 
 
-def history(rows: DataFrame, extra: list[str] | None = None) -> DataFrame:
-    """Every row with how it came about: added, moved (same code elsewhere), reverted (code seen before), modified."""
+def history(rows: DataFrame, extra: list[str] | None = None, last: Column | int | None = None) -> DataFrame:
+    """Every row with how it came about: added, moved (same code elsewhere), reverted (code seen before), modified.
+
+    ``valid_through`` is the last version at which the row was valid; of rows that still are it is ``last``, the number
+    of the latest version (a column where that differs by repository), null where it is not given.
+    """
     w = Window.partitionBy("lineage_id").orderBy("seq_added", "row_id")
     seen = F.row_number().over(Window.partitionBy("lineage_id", "snippet_id").orderBy("seq_added", "row_id")) > 1
     before = F.lag("snippet_id").over(w)
     nth = F.row_number().over(w)
     change = F.when(nth == 1, "added").when(before.eqNullSafe(F.col("snippet_id")), "moved").when(seen, "reverted").otherwise("modified")
-    through = F.when(F.col("seq_removed").isNotNull(), F.col("seq_removed") - 1)
+    through = F.coalesce(F.col("seq_removed") - 1, last if isinstance(last, Column) else F.lit(last).cast("int"))
     return rows.select(*(extra or []), "lineage_id", "row_id", "snippet_id", *PLACE, "seq_added", "seq_removed", through.alias("valid_through"), nth.alias("version_no"), change.alias("change"), before.alias("prev_snippet_id"))
 
 
@@ -57,21 +65,24 @@ def named(rows: DataFrame, name: str, file_path: str | None = None) -> DataFrame
     return rows.join(rows.where(hit).select("lineage_id").distinct(), "lineage_id", "left_semi")
 
 
-def unified_diffs(hist: DataFrame, texts: DataFrame) -> DataFrame:
-    """Add ``diff`` from the version before (null, with ``diff_note``, where a text is gone) to a history."""
+def unified_diffs(hist: DataFrame, texts: DataFrame, label: str = "seq_added") -> DataFrame:
+    """Add ``diff`` from the version before (null, with ``diff_note``, where a text is gone) to a history.
+
+    The two sides are named by ``label``. Texts of both are joined by content, each where it is needed.
+    """
 
     @F.pandas_udf("string")
     def diff(old: pd.Series, new: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:
         made = [None if o is None or n is None else "".join(difflib.unified_diff(o.splitlines(True), n.splitlines(True), str(x), str(y))) for o, n, x, y in zip(old, new, a, b)]
         return pd.Series(made, dtype="object")
 
-    was = F.lag("seq_added").over(Window.partitionBy("lineage_id").orderBy("seq_added", "row_id"))
+    was = F.lag(label).over(Window.partitionBy("lineage_id").orderBy("seq_added", "row_id"))
     t = texts.select("snippet_id", F.col("text").alias("new_text"))
     p = texts.select(F.col("snippet_id").alias("prev_snippet_id"), F.col("text").alias("old_text"))
-    h = hist.withColumn("prev_seq", was).join(t, "snippet_id", "left").join(p, "prev_snippet_id", "left")
-    h = h.withColumn("diff", F.when(F.col("version_no") > 1, diff("old_text", "new_text", "prev_seq", "seq_added")))
-    note = F.when((F.col("version_no") > 1) & F.col("diff").isNull(), F.lit("unavailable: a text was removed by vacuum"))
-    return h.withColumn("diff_note", note).drop("new_text", "old_text", "prev_seq")
+    h = hist.withColumn("prev_label", was).join(t, "snippet_id", "left").join(p, "prev_snippet_id", "left")
+    h = h.withColumn("diff", F.when(F.col("version_no") > 1, diff("old_text", "new_text", F.col("prev_label").cast("string"), F.col(label).cast("string"))))
+    note = F.when((F.col("version_no") > 1) & F.col("diff").isNull(), F.lit(GONE))
+    return h.withColumn("diff_note", note).drop("new_text", "old_text", "prev_label")
 
 
 def live_texts(texts: DataFrame, rows: DataFrame, floor: int) -> tuple[DataFrame, DataFrame]:
@@ -119,7 +130,7 @@ def first_hits(ranked: DataFrame, rows: DataFrame) -> DataFrame:
     return hits.groupBy("query_id", "lineage_id").agg(first.alias("f")).select("query_id", "lineage_id", "f.*")
 
 
-def grouped_results(ranked: DataFrame, rows: DataFrame, k: int) -> DataFrame:
+def grouped_results(ranked: DataFrame, rows: DataFrame, k: int, show: tuple[str, ...] = (), label: str = "seq_added") -> DataFrame:
     """One result per lineage, ranked by its best version and showing its latest.
 
     ``query_id, rank, score, lineage_id, snippet_id, place, n_versions, versions, matched_seq, matched_snippet_id,
@@ -129,5 +140,11 @@ def grouped_results(ranked: DataFrame, rows: DataFrame, k: int) -> DataFrame:
     w = Window.partitionBy("query_id").orderBy("rank", "file_path", "line_start", "row_id")
     top = best.withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= k)
     top = top.select("query_id", F.col("pos").alias("rank"), "score", "lineage_id", F.col("seq_added").alias("matched_seq"), F.col("snippet_id").alias("matched_snippet_id"))
-    shown = groups(rows).drop("row_id", "seq_removed")
+    shown = groups(rows, show=("seq_added", *show), label=label).drop("row_id").withColumnsRenamed({"seq_added": "shown_seq"})
+    shown = shown.drop(*([] if show else ["shown_seq", "seq_removed"]))
     return top.join(shown, "lineage_id").withColumn("matched_differs", F.col("matched_snippet_id") != F.col("snippet_id"))
+
+
+def span(first, last) -> str:
+    """The versions a row is valid at: one label, or the first and the last."""
+    return str(first) if first == last else f"{first}..{last}"

@@ -8,12 +8,20 @@ from pyspark.sql import functions as F
 from ..session import cut
 
 
-def spread_row_number(df: DataFrame, keys: list[str], order: list[str], name: str = "rn") -> DataFrame:
+#: Rows of the largest group that one task may sort.
+LARGEST = 1_000_000
+
+
+def spread_row_number(df: DataFrame, keys: list[str], order: list[str], name: str = "rn", largest: int = LARGEST) -> DataFrame:
     """``row_number() over (partition by keys order by order)`` for groups of any size.
 
-    Rows are range-partitioned by key and order, so a large group lies in many partitions; each numbers its own rows
-    and adds the rows of the group in the partitions before. ``order`` should be unique within a group.
+    Groups are counted first. Where none has more than ``largest`` rows this is the plain window. Otherwise rows are
+    range-partitioned by key and order, so a large group lies in many partitions; each numbers its own rows and adds
+    the rows of the group in the partitions before. ``order`` should be unique within a group.
     """
+    df = cut(df)
+    if (df.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0) <= largest:
+        return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
     parts = cut(df.repartitionByRange(*keys, *order).withColumn("_p", F.spark_partition_id()))
     counts = parts.groupBy(*keys, "_p").agg(F.count("*").alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.partitionBy(*keys).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

@@ -1,17 +1,22 @@
 """A versioned, content-addressed snippet index in Parquet.
 
-Each indexed version writes new snapshot tables into a folder of its own and then publishes them by writing the
-manifest; until then readers see the version before, and a failed run leaves no trace in it. Rows hold half-open
-ranges ``[seq_added, seq_removed)``; texts and vectors are stored once per content.
+Each indexed version appends to the tables only what it changes: new texts and vectors, the file listing's changes, and
+the states of rows that were opened, closed or got new line numbers. A row's latest state holds, so readers merge on
+reading; ``compact`` folds the appended parts into one. A step is published by a manifest of its own number, written
+under another name and then renamed. Readers open the highest manifest that is complete; a run that fails at any point
+leaves the step before as it was. Rows hold half-open ranges ``[seq_added, seq_removed)``; texts and vectors are stored
+once per content.
 """
 
 from __future__ import annotations
 
 import json
+import time
 from collections.abc import Callable
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.embed import hashed_bow
@@ -21,13 +26,18 @@ from ..operators.ranking import spread_row_number
 from ..sources.code_files import changed_files
 
 ROWS = "row_id long, snippet_id string, file_path string, qualname string, kind string, language string, ordinal int, line_start int, line_end int, version_added string, version_removed string, seq_added int, seq_removed int, lineage_id long"
+#: ``at`` is the version that wrote a state; the listing keeps removed files with a null hash.
 SCHEMAS = {
     "versions": "seq int, version string, indexed_at string, n_files long, n_snippets long, diff_json string",
-    "files": "file_path string, file_hash string",
-    "rows": ROWS,
+    "files": "file_path string, file_hash string, at int",
+    "rows": f"{ROWS}, at int",
     "texts": "snippet_id string, vector_id long, text string, v array<double>",
     "links": "old_snippet_id string, new_snippet_id string, file_path string, qualname string, version string",
 }
+#: Layout of the tables; stores of an older layout are brought up when they are opened.
+LAYOUT = 2
+#: Parts of the row table from which on it is compacted before the next version.
+PARTS = 32
 
 
 @dataclass
@@ -37,8 +47,14 @@ class IndexStats:
     files_total: int = 0
     files_changed: int = 0
     files_parsed: int = 0
+    snippets_total: int = 0
     texts_embedded: int = 0
     counts: dict[str, int] = field(default_factory=dict)
+    seconds: dict[str, float] = field(default_factory=dict)
+
+    @property
+    def total_seconds(self) -> float:
+        return sum(self.seconds.values())
 
 
 class VersionedIndex:
@@ -48,37 +64,96 @@ class VersionedIndex:
         self.spark, self.path, self.embed, self.strip_comments = spark, path.rstrip("/"), embed, strip_comments
         self._fs_path = spark._jvm.org.apache.hadoop.fs.Path(self.path)
         self._fs = self._fs_path.getFileSystem(spark._jsc.hadoopConfiguration())
-        self.manifest = self._read() or {"step": 0, "tables": {}, "floor": 1}
+        self.manifest = self._read() or {"step": 0, "tables": {}, "floor": 1, "layout": LAYOUT}
         self._bm25: dict[tuple[int, int], sparse.Bm25Index] = {}
+        if self.manifest.get("layout") != LAYOUT:
+            # older rows know no lineage: the column is added by reading with the schema, and filled from the ranges
+            self.manifest["layout"] = LAYOUT
+            self.backfill_lineage()
 
     # ---- storage
     def _p(self, name: str):
         return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
 
-    def _read(self) -> dict | None:
-        p = self._p("manifest.json")
-        if not self._fs.exists(p):
-            return None
-        return json.loads("".join(r["value"] for r in self.spark.read.text(f"{self.path}/manifest.json").collect()))
+    def _steps(self) -> list[int]:
+        """Numbers of the manifests, highest first."""
+        if not self._fs.exists(self._fs_path):
+            return []
+        names = [f.getPath().getName() for f in self._fs.listStatus(self._fs_path)]
+        return sorted((int(n[9:-5]) for n in names if n.startswith("manifest-") and n.endswith(".json") and n[9:-5].isdigit()), reverse=True)
 
-    def _publish(self, tables: dict[str, DataFrame], **meta) -> None:
-        step = self.manifest["step"] + 1
+    def _read(self) -> dict | None:
+        for step in self._steps():
+            text = "\n".join(r["value"] for r in self.spark.read.text(f"{self.path}/manifest-{step}.json").collect())
+            try:
+                found = json.loads(text)
+            except ValueError:
+                continue
+            if found.get("step") == step:
+                return found
+        return None
+
+    def _publish(self, replace: dict[str, DataFrame] | None = None, append: dict[str, DataFrame] | None = None, **meta) -> None:
+        """Write tables, anew or as further parts, and make them the store's state by one rename."""
+        step = max([self.manifest["step"], *self._steps()[:1]]) + 1
         new = {**self.manifest, **meta, "step": step, "tables": dict(self.manifest["tables"])}
-        for name, df in tables.items():
-            new["tables"][name] = f"step-{step}/{name}"
-            df.write.mode("overwrite").parquet(f"{self.path}/{new['tables'][name]}")
-        tmp = self._p("manifest.tmp")
+        for name, df in (replace or {}).items():
+            new["tables"][name] = [f"step-{step}/{name}"]
+            self._write(name, df, new["tables"][name][0])
+        for name, df in (append or {}).items():
+            new["tables"][name] = [*new["tables"].get(name, []), f"step-{step}/{name}"]
+            self._write(name, df, new["tables"][name][-1])
+        tmp, final = self._p(f"manifest-{step}.tmp"), self._p(f"manifest-{step}.json")
         out = self._fs.create(tmp, True)
         out.write(bytearray(json.dumps(new).encode()))
         out.close()
-        self._fs.delete(self._p("manifest.json"), False)
-        self._fs.rename(tmp, self._p("manifest.json"))
+        if self._fs.exists(final) or not self._fs.rename(tmp, final):
+            raise RuntimeError(f"step {step} was published by another writer")
         self.manifest = new
         self._bm25.clear()
 
-    def table(self, name: str) -> DataFrame:
+    def _write(self, name: str, df: DataFrame, at: str) -> None:
+        if "at" not in df.columns and "at int" in SCHEMAS[name]:
+            df = df.withColumn("at", F.lit(self.manifest.get("seq", 0)))
+        df.write.mode("overwrite").parquet(f"{self.path}/{at}")
+
+    def _drop_unused(self) -> None:
+        """Remove manifests before the current one and the parts that only they name. Readers of those must open again."""
+        for step in self._steps():
+            if step < self.manifest["step"]:
+                self._fs.delete(self._p(f"manifest-{step}.json"), False)
+        used = {p for parts in self.manifest["tables"].values() for p in parts}
+        for step in self._fs.listStatus(self._fs_path):
+            name = step.getPath().getName()
+            if step.isDirectory() and name.startswith("step-"):
+                parts = [f"{name}/{t.getPath().getName()}" for t in self._fs.listStatus(step.getPath())]
+                for p in parts:
+                    if p not in used:
+                        self._fs.delete(self._p(p), True)
+                if not used.intersection(parts):
+                    self._fs.delete(step.getPath(), True)
+
+    def _parts(self, name: str) -> DataFrame:
         at = self.manifest["tables"].get(name)
-        return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.path}/{at}") if at else self.spark.createDataFrame([], SCHEMAS[name])
+        if not at:
+            return self.spark.createDataFrame([], SCHEMAS[name])
+        return self.spark.read.schema(SCHEMAS[name]).parquet(*[f"{self.path}/{p}" for p in at])
+
+    def table(self, name: str) -> DataFrame:
+        """A table as of the last step; of rows and files the latest states."""
+        df = self._parts(name)
+        if name not in ("rows", "files"):
+            return df
+        key = "row_id" if name == "rows" else "file_path"
+        cols = [c for c in df.columns if c != "at"]
+        if len(self.manifest["tables"].get(name, [])) > 1:
+            df = df.groupBy(key).agg(F.max_by(F.struct(*[c for c in df.columns if c != key]), "at").alias("s")).select(key, "s.*")
+        return (df.where("file_hash is not null") if name == "files" else df).select(cols)
+
+    def compact(self) -> None:
+        """Fold the parts of every table into one, and free what no manifest names any more."""
+        self._publish({n: self.table(n) for n in self.manifest["tables"]})
+        self._drop_unused()
 
     def copy_to(self, path: str) -> VersionedIndex:
         """A branch of the index: the same tables under another path."""
@@ -91,13 +166,11 @@ class VersionedIndex:
 
     def seq(self, version: str | None = None) -> int:
         """The number of a version (None: the latest). An empty store is a ValueError, an unknown label a KeyError."""
-        v = self.table("versions")
         if version is None:
-            top = v.agg(F.max("seq")).first()[0]
-            if top is None:
+            if not self.manifest.get("seq"):
                 raise ValueError("nothing is indexed yet")
-            return top
-        row = v.where(F.col("version") == version).select("seq").first()
+            return self.manifest["seq"]
+        row = self.table("versions").where(F.col("version") == version).select("seq").first()
         if row is None:
             raise KeyError(version)
         return row["seq"]
@@ -122,46 +195,87 @@ class VersionedIndex:
 
     def index_version(self, files: DataFrame, version: str, indexed_at: str | None = None) -> IndexStats:
         """Index a full listing ``file_path, content, file_hash``; only changed files are parsed, only new texts embedded."""
+        made = lambda paths: extract.snippets(files.join(paths, "file_path", "left_semi"), self.strip_comments)
+        return self.index_snippets(files, made, version, indexed_at)
+
+    def index_snippets(self, files: DataFrame, snippets: Callable[[DataFrame], DataFrame], version: str, indexed_at: str | None = None) -> IndexStats:
+        """Index a full listing ``file_path, file_hash`` whose ``Snippet`` records ``snippets(paths)`` gives for some files.
+
+        Work and writes grow with what changed; of the store only the current rows of changed files are looked at.
+        """
+        if len(self.manifest["tables"].get("rows", [])) >= PARTS:
+            self.compact()
         if self.table("versions").where(F.col("version") == version).limit(1).count():
             raise ValueError(f"version {version!r} is indexed already")
-        seq = 1 + (self.table("versions").agg(F.max("seq")).first()[0] or 0)
-        changed = changed_files(self.table("files"), files).persist()
-        rows = self.table("rows")
-        current = rows.where("seq_removed is null")
-        affected = current.join(changed.select("file_path"), "file_path", "left_semi")
-        new = extract.snippets(files.join(changed.where("change <> 'removed'").select("file_path"), "file_path", "left_semi"), self.strip_comments).persist()
-        d = diff.diff_snippets(affected, new).persist()
-        c = diff.counts(d).first()
-        counts = {k: int(c[k] or 0) for k in ("added", "deleted", "unchanged", "modified", "moved")}
-        untouched = current.join(changed.select("file_path"), "file_path", "left_anti")
-        counts["unchanged"] += untouched.count()
-        key = diff.KEY
-        prev = d.select("change_class", *[F.col(f"old_{k}").alias(k) for k in key], *[F.col(f"new_{k}").alias(f"n_{k}") for k in key])
-        state = affected.join(prev.where(F.col("file_path").isNotNull()), key)
-        closing = state.where("change_class in ('deleted', 'modified', 'moved')")
-        closed = closing.select(*[x for x in rows.columns if x not in ("version_removed", "seq_removed")], F.lit(version).alias("version_removed"), F.lit(seq).alias("seq_removed")).select(rows.columns)
-        refreshed = state.where("change_class = 'unchanged'").drop("line_start", "line_end", *[f"n_{k}" for k in key], "change_class").join(new.select(*key, "line_start", "line_end"), key).select(rows.columns)
-        opening = d.where("change_class in ('added', 'modified', 'moved')").select(*[F.col(f"new_{k}").alias(k) for k in key], *[F.col(f"old_{k}").alias(f"o_{k}") for k in key])
-        old_line = affected.select(*[F.col(k).alias(f"o_{k}") for k in key], F.col("lineage_id").alias("old_lineage"))
-        opening = new.drop("text").join(opening, key).join(old_line, [f"o_{k}" for k in key], "left")
-        base = rows.agg(F.max("row_id")).first()[0] or 0
-        numbered = spread_row_number(opening.withColumn("_g", F.lit(0)), ["_g"], key).withColumn("row_id", F.lit(base).cast("long") + F.col("rn"))
-        opened = numbered.select(
-            "row_id", "snippet_id", "file_path", "qualname", "kind", "language", F.col("ordinal").cast("int").alias("ordinal"), "line_start", "line_end", F.lit(version).alias("version_added"), F.lit(None).cast("string").alias("version_removed"),
-            F.lit(seq).alias("seq_added"), F.lit(None).cast("int").alias("seq_removed"), F.coalesce("old_lineage", "row_id").alias("lineage_id"),
-        ).select(rows.columns)
-        out_rows = rows.where("seq_removed is not null").unionByName(untouched.select(rows.columns)).unionByName(closed).unionByName(refreshed).unionByName(opened)
-        links = d.where("change_class = 'modified'").select("old_snippet_id", "new_snippet_id", F.col("new_file_path").alias("file_path"), F.col("new_qualname").alias("qualname"), F.lit(version).alias("version"))
-        want = d.where("change_class in ('added', 'modified')").select(F.col("new_snippet_id").alias("snippet_id")).distinct()
-        fresh = new.dropDuplicates(["snippet_id"]).join(want, "snippet_id", "left_semi").join(self.table("texts"), "snippet_id", "left_anti").select("snippet_id", "text").persist()
-        vec = self.embed(fresh, "snippet_id", "text").select(F.col("id").alias("snippet_id"), F.col("v").cast("array<double>").alias("v"))
-        texts = self.table("texts").unionByName(fresh.join(vec, "snippet_id").select("snippet_id", vector_id(F.col("snippet_id")).alias("vector_id"), "text", "v"))
-        stats = IndexStats(version, seq, files.count(), changed.count(), changed.where("change <> 'removed'").count(), fresh.count(), counts)
-        n_current = counts["added"] + counts["unchanged"] + counts["modified"] + counts["moved"]
-        row = self.spark.createDataFrame([(seq, version, indexed_at, stats.files_total, n_current, json.dumps(counts))], SCHEMAS["versions"])
-        self._publish({"rows": out_rows, "files": files.select("file_path", "file_hash"), "links": self.table("links").unionByName(links), "texts": texts, "versions": self.table("versions").unionByName(row)})
-        for df in (changed, new, d, fresh):
-            df.unpersist()
+        seq = self.manifest.get("seq", 0) + 1
+        stats = IndexStats(version, seq)
+        kept: list[DataFrame] = []
+
+        def keep(df: DataFrame) -> DataFrame:
+            kept.append(df.persist())
+            return df
+
+        @contextmanager
+        def phase(name: str):
+            t = time.perf_counter()
+            yield
+            stats.seconds[name] = round(stats.seconds.get(name, 0) + time.perf_counter() - t, 3)
+
+        key, cols = diff.KEY, [c.split(" ")[0] for c in ROWS.split(", ")]
+        try:
+            with phase("scan"):
+                changed = keep(changed_files(self.table("files"), files).join(files.select("file_path", "file_hash"), "file_path", "left"))
+                n = {r["change"]: r["count"] for r in changed.groupBy("change").count().collect()}
+                stats.files_changed = sum(n.values())
+                stats.files_parsed = stats.files_changed - n.get("removed", 0)
+                stats.files_total = self.manifest.get("n_files", 0) + n.get("new", 0) - n.get("removed", 0)
+            with phase("parse"):
+                new = keep(snippets(changed.where("change <> 'removed'").select("file_path")).select(*key, "kind", "language", "line_start", "line_end", "snippet_id", "text"))
+                affected = keep(self.table("rows").where("seq_removed is null").join(changed.select("file_path"), "file_path", "left_semi"))
+                new.count()
+            with phase("diff"):
+                d = keep(diff.diff_snippets(affected, new))
+                c = diff.counts(d).first()
+                counts = {k: int(c[k] or 0) for k in ("added", "deleted", "unchanged", "modified", "moved")}
+                there = counts["deleted"] + counts["unchanged"] + counts["modified"] + counts["moved"]
+                counts["unchanged"] += self.manifest.get("n_snippets", 0) - there
+                stats.counts = counts
+                stats.snippets_total = counts["added"] + counts["unchanged"] + counts["modified"] + counts["moved"]
+                ends = d.where("old_file_path is not null").select("change_class", *[F.col(f"old_{k}").alias(k) for k in key], *[F.col(f"new_{k}").alias(f"n_{k}") for k in key])
+                state = affected.join(ends, key)
+                gone = state.where("change_class <> 'unchanged'").withColumns({"version_removed": F.lit(version), "seq_removed": F.lit(seq)}).select(cols)
+                lines = new.select(*key, F.col("line_start").alias("ls"), F.col("line_end").alias("le"))
+                shifted = state.where("change_class = 'unchanged'").join(lines, key).where("not (line_start <=> ls and line_end <=> le)")
+                shifted = shifted.withColumns({"line_start": F.col("ls"), "line_end": F.col("le")}).select(cols)
+                starts = d.where("new_file_path is not null and change_class <> 'unchanged'").select(*[F.col(f"new_{k}").alias(k) for k in key], *[F.col(f"old_{k}").alias(f"o_{k}") for k in key])
+                line = affected.select(*[F.col(k).alias(f"o_{k}") for k in key], F.col("lineage_id").alias("old_lineage"))
+                starts = new.drop("text").join(starts, key).join(line, [f"o_{k}" for k in key], "left")
+                base = self.manifest.get("last_row_id", 0)
+                numbered = spread_row_number(starts.withColumn("_g", F.lit(0)), ["_g"], key).withColumn("row_id", F.lit(base).cast("long") + F.col("rn"))
+                opened = numbered.withColumns(
+                    {"ordinal": F.col("ordinal").cast("int"), "version_added": F.lit(version), "version_removed": F.lit(None).cast("string"), "seq_added": F.lit(seq), "seq_removed": F.lit(None).cast("int"), "lineage_id": F.coalesce("old_lineage", "row_id")}
+                ).select(cols)
+                n_opened = counts["added"] + counts["modified"] + counts["moved"]
+                links = d.where("change_class = 'modified'").select("old_snippet_id", "new_snippet_id", F.col("new_file_path").alias("file_path"), F.col("new_qualname").alias("qualname"), F.lit(version).alias("version"))
+            with phase("embed"):
+                want = d.where("change_class in ('added', 'modified')").select(F.col("new_snippet_id").alias("snippet_id")).distinct()
+                fresh = keep(new.dropDuplicates(["snippet_id"]).join(want, "snippet_id", "left_semi").join(self.table("texts"), "snippet_id", "left_anti").select("snippet_id", "text"))
+                stats.texts_embedded = fresh.count()
+                vec = self.embed(fresh, "snippet_id", "text").select(F.col("id").alias("snippet_id"), F.col("v").cast("array<double>").alias("v"))
+                texts = fresh.join(vec, "snippet_id").select("snippet_id", vector_id(F.col("snippet_id")).alias("vector_id"), "text", "v")
+            with phase("write"):
+                row = self.spark.createDataFrame([(seq, version, indexed_at, stats.files_total, stats.snippets_total, json.dumps(counts))], SCHEMAS["versions"])
+                listed = changed.select("file_path", F.when(F.col("change") != "removed", F.col("file_hash")).alias("file_hash"))
+                at = F.lit(seq).alias("at")
+                parts = {"rows": gone.unionByName(shifted).unionByName(opened).select("*", at), "files": listed.select("*", at), "versions": row}
+                parts |= {"texts": texts} if stats.texts_embedded or seq == 1 else {}
+                parts |= {"links": links} if counts["modified"] or seq == 1 else {}
+                # a handful of rows makes one file; a first load keeps its partitions
+                parts = {k: v.coalesce(1) if stats.files_changed < 1000 and k != "texts" else v for k, v in parts.items()}
+                self._publish(append=parts, seq=seq, n_files=stats.files_total, n_snippets=stats.snippets_total, last_row_id=base + n_opened)
+        finally:
+            for df in kept:
+                df.unpersist()
         return stats
 
     # ---- reading
@@ -171,6 +285,11 @@ class VersionedIndex:
     def lineage(self) -> DataFrame:
         return self.table("links")
 
+    def _labelled(self, rows: DataFrame) -> DataFrame:
+        """Rows with ``valid_through``, the label of the last version at which they were valid."""
+        label = self.table("versions").select(F.col("seq").alias("_seq"), F.col("version").alias("valid_through"))
+        return rows.join(label, F.coalesce(F.col("seq_removed") - 1, F.lit(self.manifest.get("seq", 0))) == F.col("_seq"), "left").drop("_seq")
+
     def _bm25_of(self, lo: int, hi: int) -> sparse.Bm25Index:
         """Statistics cover the distinct texts valid in the range, never the whole store."""
         if (lo, hi) not in self._bm25:
@@ -179,49 +298,69 @@ class VersionedIndex:
         return self._bm25[lo, hi]
 
     def search(self, query: str, k: int = 10, as_of: str | None = None, between: tuple[str, str] | None = None, use_bm25: bool = True, bm25_weight: float = 0.3, candidates: int = 100, group_by_lineage: bool | None = None) -> DataFrame:
-        """Rank the snippets of a version or a range; with grouping, one result per lineage.
+        """``search_many`` for one question, in order of rank."""
+        asks = self.spark.createDataFrame([(0, query)], "query_id long, text string")
+        return self.search_many(asks, k, as_of, between, use_bm25, bm25_weight, candidates, group_by_lineage).drop("query_id").orderBy("rank", "file_path", "line_start")
 
-        Ungrouped, ``k`` texts are taken and each of their places is a row. Grouped, the pool of candidates doubles
-        until ``k`` lineages are found or all texts are in it.
+    def search_many(self, queries: DataFrame, k: int = 10, as_of: str | None = None, between: tuple[str, str] | None = None, use_bm25: bool = True, bm25_weight: float = 0.3, candidates: int = 100, group_by_lineage: bool | None = None) -> DataFrame:
+        """Rank the snippets of a version or a range for each of ``queries`` (query_id, text).
+
+        Ungrouped, ``k`` texts are taken and each of their places is a row. Grouped, a row is a lineage: the score of its
+        best version beside its latest, and the pool of candidates doubles until every query has ``k`` lineages or all
+        texts are in it; lists of all texts are made once, when the first pool was too small, and then only cut.
         """
         lo, hi, multi = self.range(as_of, between)
         grouped = multi if group_by_lineage is None else group_by_lineage
-        rows = lineage.between(self.table("rows"), lo, hi).withColumn("vector_id", vector_id(F.col("snippet_id")))
-        pool = dense.allowed(self.table("texts").select(F.col("vector_id").alias("id"), "v"), rows.select(F.col("vector_id").alias("id"))).persist()
-        size = pool.count()
-        q = self.spark.createDataFrame([(0, query)], "query_id long, text string")
-        qv = self.embed(q, "query_id", "text")
+        rows = self._labelled(lineage.between(self.table("rows"), lo, hi)).withColumn("vector_id", vector_id(F.col("snippet_id")))
+        pool = dense.allowed(self.table("texts").select(F.col("vector_id").alias("id"), "v"), rows.select(F.col("vector_id").alias("id")))
+        size = rows.select("vector_id").distinct().count()
+        ask = self.embed(queries.select(F.col("query_id").alias("id"), "text"), "id", "text")
+        lists = lambda n: [dense.search(pool, ask, max(n, 1))] + ([sparse.search(self._bm25_of(lo, hi), queries, "query_id", "text", max(n, 1))] if use_bm25 else [])
         cand = max(candidates, 4 * k) if grouped else candidates
+        made = lists(min(cand, size))
+        whole = cand >= size
         while True:
-            n = min(cand, size)
-            ranked = dense.search(pool, qv, max(n, 1))
-            if use_bm25:
-                ranked = fusion.fuse([ranked, sparse.search(self._bm25_of(lo, hi), q, "query_id", "text", cand)], [1.0, bm25_weight])
+            cuts = [x.where(F.col("rank") <= cand) for x in made]
+            ranked = fusion.fuse(cuts, [1.0, bm25_weight]) if use_bm25 else cuts[0]
             if not grouped:
                 hit = ranked.where(F.col("rank") <= k).join(rows, F.col("id") == F.col("vector_id"))
-                return hit.select("rank", "score", *self.table("rows").columns).orderBy("rank", "file_path", "line_start")
-            out = lineage.grouped_results(ranked, rows, k)
-            if n >= size or out.count() >= k:
+                return hit.select("query_id", "rank", "score", *[c.split(" ")[0] for c in ROWS.split(", ")], "valid_through")
+            out = lineage.grouped_results(ranked, rows, k, ("kind", "line_start", "line_end", "version_added", "version_removed", "valid_through"), "version_added")
+            if cand >= size or queries.select("query_id").join(out.groupBy("query_id").count().where(F.col("count") >= k), "query_id", "left_anti").isEmpty():
                 labels = self.table("versions").select(F.col("seq").alias("matched_seq"), F.col("version").alias("matched_version"))
-                return out.drop("query_id").join(F.broadcast(labels), "matched_seq", "left").orderBy("rank")
+                return out.join(labels, "matched_seq", "left").drop("shown_seq", "seq_removed")
             cand *= 2
+            if not whole:
+                made, whole = [x.persist() for x in lists(size)], True
 
     @staticmethod
     def describe_result(r: dict) -> str:
         """One line for a result row: where it is, which versions it covers and which one matched."""
+        # fixed values: the wording of result lines
         place = f"{r['file_path']}:{r.get('line_start')}-{r.get('line_end')}  {r['qualname']}"
-        if "n_versions" not in r:
-            return f"{place}  [{r['version_added']}]"
+        span = lineage.span(r["version_added"], r["valid_through"])
+        if r.get("n_versions") is None:
+            return f"{place}  [{span}]"
         n = r["n_versions"]
+        names = f"{n} version{'' if n == 1 else 's'}" + (f": {', '.join(r['versions'])}" if n > 1 else "")
         how = f"matched on the wording of {r['matched_version']}" if r["matched_differs"] else "matched on this version"
-        return f"{place}  [{n} version{'' if n == 1 else 's'}]  showing {r['versions'][-1]}, {how}"
+        return f"{place}  [{names}]  showing {span}, {how}"
+
+    def history(self, name: str | None, file_path: str | None = None, with_diffs: bool = False) -> DataFrame:
+        """The rows of every lineage that ever had a function of that name (None: of all lineages), in version order.
 
-    def history(self, name: str, file_path: str | None = None, with_diffs: bool = False) -> DataFrame:
-        rows = lineage.named(self.table("rows"), name, file_path)
-        h = lineage.history(rows).join(rows.select("row_id", "line_start", "line_end", "version_added"), "row_id")
+        Lineages come by place of their latest member. ``valid_through`` is a label.
+        """
+        all_rows = self.table("rows")
+        rows = all_rows if name is None else lineage.named(all_rows, name, file_path)
+        h = lineage.history(rows, ["kind", "line_start", "line_end", "version_added", "version_removed"]).drop("valid_through")
+        h = self._labelled(h)
         if with_diffs:
-            h = lineage.unified_diffs(h, self.table("texts").select("snippet_id", "text"))
-        return h.orderBy("file_path", "qualname", "lineage_id", "seq_added")
+            h = lineage.unified_diffs(h, self.table("texts").select("snippet_id", "text"), "version_added")
+        whole = Window.partitionBy("lineage_id")
+        latest = F.max_by(F.struct("file_path", "qualname"), F.struct("seq_added", "row_id")).over(whole)
+        h = h.withColumn("lineage_place", latest).withColumn("n_versions", F.count("*").over(whole))
+        return h.orderBy("lineage_place.file_path", "lineage_place.qualname", "lineage_id", "seq_added", "row_id")
 
     # ---- upkeep
     def backfill_lineage(self) -> int:
@@ -235,21 +374,34 @@ class VersionedIndex:
         return missing
 
     def vacuum(self, keep_since: str | None = None) -> dict[str, int]:
-        """Remove texts that no version from ``keep_since`` on needs. The floor of searches never goes down again."""
+        """Remove texts that no version from ``keep_since`` on needs, and their bytes. The floor of searches never goes down."""
         floor = max(self.seq(keep_since), self.manifest["floor"])
         kept, gone = lineage.live_texts(self.table("texts"), self.table("rows"), floor)
         out = {"vectors_removed": gone.count(), "vectors_kept": kept.count()}
         self._publish({"texts": kept}, floor=floor)
+        self._drop_unused()
         return out
 
 
-def equivalent(a: VersionedIndex, b: VersionedIndex) -> bool:
-    """Do two stores hold the same valid rows, and the content of each? (Of equal contents one layout is kept.)"""
-    cols = ["file_path", "qualname", "ordinal", "snippet_id", "line_start", "line_end"]
+def equivalent(a: VersionedIndex, b: VersionedIndex, queries: DataFrame | None = None, k: int = 100, tolerance: float = 1e-3) -> bool:
+    """Do two stores hold the same valid rows, and the content of each? (Of equal contents one layout is kept.)
+
+    With ``queries`` (query_id, text) the scores of their best ``k`` places are compared too: equal places may differ by
+    ``tolerance``, and a place only one store returns must score at most that much above the lowest score of its query.
+    """
+    place = ["file_path", "qualname", "ordinal"]
+    cols = [*place, "snippet_id", "line_start", "line_end"]
     x, y = a.valid_rows().select(cols), b.valid_rows().select(cols)
     s, t = a.table("texts").select("snippet_id"), b.table("texts").select("snippet_id")
     live = lambda i, d: d.join(i.valid_rows().select("snippet_id").distinct(), "snippet_id", "left_semi")
     s, t = live(a, s), live(b, t)
-    return all(p.exceptAll(q).isEmpty() for p, q in ((x, y), (y, x), (s, t), (t, s)))
-
-
+    if not all(p.exceptAll(q).isEmpty() for p, q in ((x, y), (y, x), (s, t), (t, s))):
+        return False
+    if queries is None:
+        return True
+    found = [i.search_many(queries, k, use_bm25=False).select("query_id", *place, F.col("score").alias(c)) for i, c in ((a, "sa"), (b, "sb"))]
+    least = [f.groupBy("query_id").agg(F.min(c).alias(f"least_{c}")) for f, c in zip(found, ("sa", "sb"))]
+    both = found[0].join(found[1], ["query_id", *place], "full_outer").join(least[0], "query_id", "left").join(least[1], "query_id", "left")
+    apart = F.abs(F.col("sa") - F.col("sb")) > tolerance
+    alone = (F.col("sa").isNull() | F.col("sb").isNull()) & (F.coalesce("sa", "sb") > F.greatest("least_sa", "least_sb") + tolerance)
+    return both.where(apart | alone).isEmpty()
