@@ -11,16 +11,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
-from .ranking import spread_row_number
+from .ranking import row_number_of_few, spread_row_number
 
 KEY = ["file_path", "qualname", "ordinal"]
 
 
-def diff_snippets(old: DataFrame, new: DataFrame, group: list[str] | None = None) -> DataFrame:
+def diff_snippets(old: DataFrame, new: DataFrame, group: list[str] | None = None, few: bool = False) -> DataFrame:
     """``group, change_class, old_* and new_*`` (key columns and snippet_id) of two sets with unique keys.
 
     ``group`` columns (for example the repository) keep sets apart. Key columns and contents are compared as given;
-    a null content equals only a null content. Empty sides give only additions or only deletions.
+    a null content equals only a null content. Empty sides give only additions or only deletions. ``few`` says that
+    both sides have been counted and are small enough for one task to sort any group of them.
     """
     group = group or []
     cols = [*KEY, "snippet_id"]
@@ -28,12 +29,15 @@ def diff_snippets(old: DataFrame, new: DataFrame, group: list[str] | None = None
     n = new.select(*group, *KEY, F.struct(*cols).alias("n"))
     both = o.join(n, [*group, *KEY], "full_outer")
     kind = F.when(F.col("o").isNull(), "fresh").when(F.col("n").isNull(), "gone").when(F.col("o.snippet_id").eqNullSafe(F.col("n.snippet_id")), "unchanged").otherwise("modified")
-    both = cut(both.select(*group, "o", "n", kind.alias("c")))
+    both = both.select(*group, "o", "n", kind.alias("c"))
+    if not few:
+        both = cut(both)
     kept = both.where("c in ('unchanged', 'modified')").withColumnRenamed("c", "change_class")
 
     def side(c: str, s: str) -> DataFrame:
         x = both.where(F.col("c") == c).select(*group, F.col(f"{s}.snippet_id").alias("sid"), *[F.col(f"{s}.{k}").alias(k) for k in KEY], s)
-        return spread_row_number(x, [*group, "sid"], KEY).select(*group, "sid", "rn", s)
+        x = row_number_of_few(x, [*group, "sid"], KEY) if few else spread_row_number(x, [*group, "sid"], KEY)
+        return x.select(*group, "sid", "rn", s)
 
     pairs = side("gone", "o").join(side("fresh", "n"), [*group, "sid", "rn"], "full_outer")
     moved = F.when(F.col("o").isNull(), "added").when(F.col("n").isNull(), "deleted").otherwise("moved")

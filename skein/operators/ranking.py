@@ -12,6 +12,11 @@ from ..session import cut
 LARGEST = 1_000_000
 
 
+def row_number_of_few(df: DataFrame, keys: list[str], order: list[str], name: str = "rn") -> DataFrame:
+    """The same for rows that are known to be at most ``LARGEST``."""
+    return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+
+
 def spread_row_number(df: DataFrame, keys: list[str], order: list[str], name: str = "rn", largest: int = LARGEST) -> DataFrame:
     """``row_number() over (partition by keys order by order)`` for groups of any size.
 
@@ -21,7 +26,7 @@ def spread_row_number(df: DataFrame, keys: list[str], order: list[str], name: st
     """
     df = cut(df)
     if (df.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0) <= largest:
-        return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+        return row_number_of_few(df, keys, order, name)
     parts = cut(df.repartitionByRange(*keys, *order).withColumn("_p", F.spark_partition_id()))
     counts = parts.groupBy(*keys, "_p").agg(F.count("*").alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.partitionBy(*keys).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

@@ -12,7 +12,9 @@ from __future__ import annotations
 
 import json
 import time
+import uuid
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
 from dataclasses import dataclass, field
 
@@ -22,7 +24,7 @@ from pyspark.sql import functions as F
 from ..functions.embed import hashed_bow
 from ..functions.text import vector_id
 from ..operators import dense, diff, extract, fusion, lineage, sparse
-from ..operators.ranking import spread_row_number
+from ..operators.ranking import LARGEST, row_number_of_few, spread_row_number
 from ..sources.code_files import changed_files
 
 ROWS = "row_id long, snippet_id string, file_path string, qualname string, kind string, language string, ordinal int, line_start int, line_end int, version_added string, version_removed string, seq_added int, seq_removed int, lineage_id long"
@@ -97,12 +99,11 @@ class VersionedIndex:
         """Write tables, anew or as further parts, and make them the store's state by one rename."""
         step = max([self.manifest["step"], *self._steps()[:1]]) + 1
         new = {**self.manifest, **meta, "step": step, "tables": dict(self.manifest["tables"])}
-        for name, df in (replace or {}).items():
-            new["tables"][name] = [f"step-{step}/{name}"]
-            self._write(name, df, new["tables"][name][0])
-        for name, df in (append or {}).items():
-            new["tables"][name] = [*new["tables"].get(name, []), f"step-{step}/{name}"]
-            self._write(name, df, new["tables"][name][-1])
+        for name in (*(replace or {}), *(append or {})):
+            before = [] if name in (replace or {}) else new["tables"].get(name, [])
+            new["tables"][name] = [*before, f"step-{step}/{name}"]
+        with ThreadPoolExecutor(5) as pool:  # the tables of a step don't depend on each other
+            list(pool.map(lambda x: self._write(x[0], x[1], f"step-{step}/{x[0]}"), [*(replace or {}).items(), *(append or {}).items()]))
         tmp, final = self._p(f"manifest-{step}.tmp"), self._p(f"manifest-{step}.json")
         out = self._fs.create(tmp, True)
         out.write(bytearray(json.dumps(new).encode()))
@@ -209,11 +210,13 @@ class VersionedIndex:
             raise ValueError(f"version {version!r} is indexed already")
         seq = self.manifest.get("seq", 0) + 1
         stats = IndexStats(version, seq)
-        kept: list[DataFrame] = []
+        tmp = f"{self.path}/tmp-{uuid.uuid4().hex}"
 
         def keep(df: DataFrame) -> DataFrame:
-            kept.append(df.persist())
-            return df
+            """Stages are tables too: their plans stay short, their sizes are known, and a lost executor takes nothing along."""
+            at = f"{tmp}/{uuid.uuid4().hex}"
+            df.write.parquet(at)
+            return self.spark.read.schema(df.schema).parquet(at)
 
         @contextmanager
         def phase(name: str):
@@ -232,9 +235,10 @@ class VersionedIndex:
             with phase("parse"):
                 new = keep(snippets(changed.where("change <> 'removed'").select("file_path")).select(*key, "kind", "language", "line_start", "line_end", "snippet_id", "text"))
                 affected = keep(self.table("rows").where("seq_removed is null").join(changed.select("file_path"), "file_path", "left_semi"))
-                new.count()
+                n_new, n_affected = new.count(), affected.count()
+                few = n_new + n_affected <= LARGEST
             with phase("diff"):
-                d = keep(diff.diff_snippets(affected, new))
+                d = keep(diff.diff_snippets(affected, new, few=few))
                 c = diff.counts(d).first()
                 counts = {k: int(c[k] or 0) for k in ("added", "deleted", "unchanged", "modified", "moved")}
                 there = counts["deleted"] + counts["unchanged"] + counts["modified"] + counts["moved"]
@@ -251,7 +255,7 @@ class VersionedIndex:
                 line = affected.select(*[F.col(k).alias(f"o_{k}") for k in key], F.col("lineage_id").alias("old_lineage"))
                 starts = new.drop("text").join(starts, key).join(line, [f"o_{k}" for k in key], "left")
                 base = self.manifest.get("last_row_id", 0)
-                numbered = spread_row_number(starts.withColumn("_g", F.lit(0)), ["_g"], key).withColumn("row_id", F.lit(base).cast("long") + F.col("rn"))
+                numbered = (row_number_of_few if few else spread_row_number)(starts.withColumn("_g", F.lit(0)), ["_g"], key).withColumn("row_id", F.lit(base).cast("long") + F.col("rn"))
                 opened = numbered.withColumns(
                     {"ordinal": F.col("ordinal").cast("int"), "version_added": F.lit(version), "version_removed": F.lit(None).cast("string"), "seq_added": F.lit(seq), "seq_removed": F.lit(None).cast("int"), "lineage_id": F.coalesce("old_lineage", "row_id")}
                 ).select(cols)
@@ -261,7 +265,8 @@ class VersionedIndex:
                 want = d.where("change_class in ('added', 'modified')").select(F.col("new_snippet_id").alias("snippet_id")).distinct()
                 fresh = keep(new.dropDuplicates(["snippet_id"]).join(want, "snippet_id", "left_semi").join(self.table("texts"), "snippet_id", "left_anti").select("snippet_id", "text"))
                 stats.texts_embedded = fresh.count()
-                vec = self.embed(fresh, "snippet_id", "text").select(F.col("id").alias("snippet_id"), F.col("v").cast("array<double>").alias("v"))
+                made = fresh if stats.texts_embedded else fresh.limit(0)
+                vec = self.embed(made, "snippet_id", "text").select(F.col("id").alias("snippet_id"), F.col("v").cast("array<double>").alias("v"))
                 texts = fresh.join(vec, "snippet_id").select("snippet_id", vector_id(F.col("snippet_id")).alias("vector_id"), "text", "v")
             with phase("write"):
                 row = self.spark.createDataFrame([(seq, version, indexed_at, stats.files_total, stats.snippets_total, json.dumps(counts))], SCHEMAS["versions"])
@@ -274,8 +279,7 @@ class VersionedIndex:
                 parts = {k: v.coalesce(1) if stats.files_changed < 1000 and k != "texts" else v for k, v in parts.items()}
                 self._publish(append=parts, seq=seq, n_files=stats.files_total, n_snippets=stats.snippets_total, last_row_id=base + n_opened)
         finally:
-            for df in kept:
-                df.unpersist()
+            self._fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(tmp), True)
         return stats
 
     # ---- reading
