@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import history, snapshots
+from ..session import scratch_dir
 from ..sources.tables import table
 
 
@@ -19,6 +22,14 @@ def p1_history(spark: SparkSession, d: str) -> DataFrame:
     return p.select("lineage_id", *history.PLACE, "kind", "seq_added", "seq_removed")
 
 
+def p1_as_of(spark: SparkSession, d: str) -> DataFrame:
+    """The state of every lineage at version 3, from the written store: the run's checkpoint and what follows it."""
+    path = f"{scratch_dir(spark)}/history-{uuid.uuid4().hex}"
+    history.save(history.lineage_store(table(spark, d, "snippets"), table(spark, d, "versions")), path)
+    s = history.state_at(history.load(spark, path), history.KEY, history.ATTRS, 3)
+    return s.select("lineage_id", *history.PLACE, "kind")
+
+
 def p1_store_size(spark: SparkSession, d: str) -> DataFrame:
     """Per kind of store row: how many rows, and how many attribute values they hold."""
     s = history.lineage_store(table(spark, d, "snippets"), table(spark, d, "versions"))
@@ -39,7 +50,7 @@ def p4_counts(spark: SparkSession, d: str) -> DataFrame:
 _ROWS = """
 labels as (select repo, lower(trim(version)) label, max(seq) seq from versions where version is not null group by 1, 2),
 state as (
-  select row_id, repo, lower(trim(snippet_id)) snippet_id, file_path, qualname, ordinal, kind, line_start, seq_removed, nullif(lower(trim(version_removed)), '') label_removed,
+  select row_id, repo, lower(trim(snippet_id)) snippet_id, file_path, qualname, ordinal, kind, line_start, line_end, exported_at, seq_removed, nullif(lower(trim(version_removed)), '') label_removed,
          row_number() over (partition by row_id order by exported_at desc, (seq_removed is not null or nullif(trim(version_removed), '') is not null) desc, seq_removed desc nulls last) rn
   from snippets),
 fixed as (select row_id, max(lineage_id) lineage_id, max(seq_added) sa, max(nullif(lower(trim(version_added)), '')) la from snippets group by 1),
@@ -98,11 +109,21 @@ counts as (
 
 _CLAIM = " or ".join(f"coalesce(try_cast(trim(json_extract_string(diff_json, '$.{c}')) as double) <> {c}, false)" for c in snapshots.CLASSES)
 
-QUERIES = {"p1_found": p1_found, "p1_history": p1_history, "p1_store_size": p1_store_size, "p4_found": p4_found, "p4_counts": p4_counts}
+QUERIES = {"p1_found": p1_found, "p1_history": p1_history, "p1_as_of": p1_as_of, "p1_store_size": p1_store_size, "p4_found": p4_found, "p4_counts": p4_counts}
 
 ORACLE = {
     "p1_found": f"with {_ROWS} select lineage_id, snippet_id, cast(seq_added as integer) seq_added, cast(seq_removed as integer) seq_removed from periods",
     "p1_history": f"with {_ROWS} select lineage_id, snippet_id, file_path, qualname, ordinal, kind, seq_added, cast(seq_removed as integer) seq_removed from periods",
+    "p1_as_of": f"with {_ROWS} select lineage_id, snippet_id, file_path, qualname, ordinal, kind from periods where seq_added <= 3 and (seq_removed = 0 or seq_removed > 3)",
+    "p1_store_size": f"""with {_ROWS}, ev as (select lineage_id, seq_added seq, true live, row_id, snippet_id, file_path, qualname, ordinal, kind, line_start, line_end, repo, exported_at from rows
+          union all select lineage_id, closed, false, row_id, snippet_id, file_path, qualname, ordinal, kind, line_start, line_end, repo, exported_at from rows where closed is not null),
+        e1 as (select *, row_number() over (partition by lineage_id, seq order by live desc, exported_at desc, row_id desc) rn from ev),
+        e2 as (select *, seq // 4 b, row_number() over w i, lag(seq // 4) over w pb from e1 where rn = 1 window w as (partition by lineage_id order by seq)),
+        e3 as (select a.*, (select max(p.i) from e2 p where p.lineage_id is not distinct from a.lineage_id and p.live and p.i < a.i) pi from e2 a),
+        e4 as (select a.*, p.i is null first, p.snippet_id ps, p.file_path pf, p.qualname pq, p.ordinal po, p.kind pk, p.line_start pl, p.line_end pe, p.repo pr from e3 a left join e2 p on p.lineage_id is not distinct from a.lineage_id and p.i = a.pi)
+        select 'patch' row_kind, count(*) n, cast(sum(case when not live then 0 when first then 8 else cast(snippet_id is distinct from ps as integer) + cast(file_path is distinct from pf as integer) + cast(qualname is distinct from pq as integer)
+          + cast(ordinal is distinct from po as integer) + cast(kind is distinct from pk as integer) + cast(line_start is distinct from pl as integer) + cast(line_end is distinct from pe as integer) + cast(repo is distinct from pr as integer) end) as bigint) n_values from e4
+        union all select 'checkpoint', count(*), count(*) * 8 from e4 where not first and pb is distinct from b""",
     "p4_found": f"""with {_DIFF}
         select 'file' as level, repo, seq, file_path, '' qualname, -1 ordinal, change from fc
         union all select 'snippet', repo, seq, file_path, qualname, ordinal, change from sc

@@ -6,7 +6,7 @@ call_order (any type that sorts). Receivers are not resolved: a call is known by
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import cut
@@ -18,6 +18,20 @@ def short(name: str) -> str:
     return name.rsplit(".", 1)[-1]
 
 
+def save(defs: DataFrame, calls: DataFrame, path: str) -> dict[str, int]:
+    """Write the graph anew, calls laid out by the name called; returns the numbers of files, snippets and calls."""
+    spark = defs.sparkSession
+    defs.write.mode("overwrite").parquet(f"{path}/defs")
+    calls.repartition("callee_name").sortWithinPartitions("callee_name").write.mode("overwrite").parquet(f"{path}/calls")
+    d, c = load(spark, path)
+    n = d.agg(F.count_distinct("file_path").alias("files"), F.count("*").alias("snippets")).first()
+    return {"files": n["files"], "snippets": n["snippets"], "calls": c.count()}
+
+
+def load(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    return spark.read.parquet(f"{path}/defs"), spark.read.parquet(f"{path}/calls")
+
+
 def definition(defs: DataFrame, name: str) -> DataFrame:
     """Functions, methods and classes of that short or qualified name. ``Renderer.draw`` also finds other ``draw``."""
     hit = (F.col("name") == short(name)) | (F.col("qualname") == name)
@@ -35,16 +49,18 @@ def callers(defs: DataFrame, calls: DataFrame, name: str) -> DataFrame:
     return defs.join(c, defs["id"] == c["caller_id"]).select(*REF, "call_lines").orderBy("file_path", "line_start")
 
 
-def callees(defs: DataFrame, calls: DataFrame, name: str) -> DataFrame:
-    """What each definition of the name calls, once per callee in source order, and where that is defined."""
-    mine = defs.where(F.col("kind").isin("function", "method", "class") & ((F.col("name") == short(name)) | (F.col("qualname") == name)))
+def callees(defs: DataFrame, calls: DataFrame, name: str | None) -> DataFrame:
+    """What each definition of the name (None: every definition) calls, once per callee in source order, and where that is
+    defined: a row per place of definition, or one with a null ``defined_at``. So a name with countless definitions
+    gives rows, not one long list."""
+    mine = defs.where(F.col("kind").isin("function", "method", "class"))
+    if name is not None:
+        mine = mine.where((F.col("name") == short(name)) | (F.col("qualname") == name))
     once = calls.join(mine.select(F.col("id").alias("caller_id")), "caller_id", "left_semi").groupBy("caller_id", "callee_name")
     once = once.agg(F.min_by(F.struct("line", "call_order"), "call_order").alias("c")).select("caller_id", "callee_name", "c.*")
     first = once.join(mine.select(F.col("id").alias("caller_id"), *REF), "caller_id")
-    where = defs.where(F.col("kind") != "module").select(F.col("name").alias("callee_name"), F.concat_ws(":", "file_path", "line_start").alias("at"))
-    where = where.join(first.select("callee_name").distinct(), "callee_name", "left_semi").groupBy("callee_name").agg(F.sort_array(F.collect_list("at")).alias("defined_in"))
-    out = first.join(where, "callee_name", "left").withColumn("defined_in", F.coalesce("defined_in", F.array().cast("array<string>")))
-    return out.select(*REF, "callee_name", "line", "call_order", "defined_in").orderBy("file_path", "line_start", "call_order")
+    where = defs.where(F.col("kind") != "module").select(F.col("name").alias("callee_name"), F.concat_ws(":", "file_path", "line_start").alias("defined_at"))
+    return first.join(where, "callee_name", "left").select(*REF, "callee_name", "line", "call_order", "defined_at").orderBy("file_path", "line_start", "call_order", "defined_at")
 
 
 def calls_before(defs: DataFrame, calls: DataFrame, x: str, y: str) -> DataFrame:

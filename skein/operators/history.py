@@ -12,7 +12,7 @@ merged before the data are gathered by entity.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..sources.tables import clean_id, clean_label
@@ -62,6 +62,29 @@ def replay(store: DataFrame, key: list[str], attrs: list[str]) -> DataFrame:
     return store.select(*key, "_bucket", "seq", "_kind", "live", *[fold(a) for a in attrs])
 
 
+def save(store: DataFrame, path: str) -> None:
+    """Write the store by run of versions, so that a point query reads the runs it needs."""
+    store.write.mode("overwrite").partitionBy("_bucket").parquet(path)
+
+
+def load(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
+
+
+def state_at(store: DataFrame, key: list[str], attrs: list[str], seq: int, every: int = EVERY) -> DataFrame:
+    """The attributes of every entity that is live at version ``seq``, each with ``seq`` of its last change.
+
+    Of each entity only its latest run of versions up to ``seq`` is folded, from that run's checkpoint: at most
+    ``every`` patches, however long its history. Rows with a null ``seq`` are older than all versions.
+    """
+    rows = store.where((F.col("_bucket") <= seq // every) | F.col("_bucket").isNull()).where((F.col("seq") <= seq) | F.col("seq").isNull())
+    latest = F.max(F.coalesce(F.col("_bucket"), F.lit(-1))).over(Window.partitionBy(*key))
+    near = rows.withColumn("_latest", latest).where(F.coalesce(F.col("_bucket"), F.lit(-1)) == F.col("_latest")).drop("_latest")
+    states = replay(near, key, attrs).where(F.col("_kind") == 1)
+    last = F.row_number().over(Window.partitionBy(*key).orderBy(F.desc_nulls_last("seq")))
+    return states.withColumn("_r", last).where("_r = 1 and live").select(*key, "seq", *attrs)
+
+
 def periods(store: DataFrame, key: list[str], attrs: list[str], identity: list[str]) -> DataFrame:
     """Longest runs with equal ``identity``: ``key, attrs (as at the start), seq_added, seq_removed (0 if still valid)``.
 

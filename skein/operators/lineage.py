@@ -8,6 +8,7 @@ bounded by the number of versions.
 from __future__ import annotations
 
 import difflib
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -101,10 +102,11 @@ def backfill(rows: DataFrame, extra: list[str] | None = None) -> DataFrame:
     from ..session import cut
 
     extra = extra or []
+    rows = cut(rows.select(*extra, "row_id", *PLACE, "snippet_id", "seq_added", "seq_removed"))
     c = rows.where("seq_removed is not null").select(*extra, F.col("row_id").alias("c_id"), *PLACE, "snippet_id", F.col("seq_removed").alias("at"))
     o = rows.select(*extra, "row_id", *PLACE, "snippet_id", F.col("seq_added").alias("at"))
     by_key = o.join(c.drop("snippet_id").groupBy(*extra, *PLACE, "at").agg(F.min("c_id").alias("c_id")), [*extra, *PLACE, "at"])
-    one = by_key.groupBy("c_id").agg(F.min("row_id").alias("row_id"))
+    one = cut(by_key.groupBy("c_id").agg(F.min("row_id").alias("row_id")))
     left_o = o.join(one, "row_id", "left_anti").select(*extra, "at", "snippet_id", "row_id")
     left_c = c.join(one, "c_id", "left_anti").select(*extra, "at", "snippet_id", "c_id")
     left_o = left_o.join(left_c.select(*extra, "at", "snippet_id").distinct(), [*extra, "at", "snippet_id"], "left_semi")
@@ -145,6 +147,20 @@ def grouped_results(ranked: DataFrame, rows: DataFrame, k: int, show: tuple[str,
     return top.join(shown, "lineage_id").withColumn("matched_differs", F.col("matched_snippet_id") != F.col("snippet_id"))
 
 
+def widened(ranked_at: Callable[[int], DataFrame], queries: DataFrame, rows: DataFrame, k: int, start: int, size: int, show: tuple[str, ...] = (), label: str = "seq_added") -> DataFrame:
+    """``grouped_results`` from ranked lists that double in length until every query has ``k`` lineages.
+
+    ``ranked_at(n)`` gives the best ``n`` texts of each query; ``size`` is the number of texts there are, with which the
+    widening ends.
+    """
+    n = start
+    while True:
+        out = grouped_results(ranked_at(n), rows, k, show, label)
+        if n >= size or queries.select("query_id").join(out.groupBy("query_id").count().where(F.col("count") >= k), "query_id", "left_anti").isEmpty():
+            return out
+        n *= 2
+
+
 def span(first, last) -> str:
     """The versions a row is valid at: one label, or the first and the last."""
     return str(first) if first == last else f"{first}..{last}"

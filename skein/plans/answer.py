@@ -7,8 +7,9 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 
-from ..operators import callgraph
+from ..operators import callgraph, lineage
 from .router import classify
+from .store import VersionedIndex
 
 
 @dataclass
@@ -21,7 +22,7 @@ class Answer:
     results: list[dict] = field(default_factory=list)
 
 
-# fixed values: the wording of the answers
+# fixed values: the wording of the answers, here and in all functions below
 _TITLES = {
     "callers": "Functions that call {0}",
     "callees": "What {0} calls",
@@ -58,21 +59,24 @@ def describe(kind: str, names: tuple[str, ...], results: list[dict], known: bool
     lines = [f"{title} ({_many(len(set(spans)) if kind == 'callees' else len(results), 'result')}):"]
     for path in dict.fromkeys(p for p, _ in spans):
         lines.append(f"  {path}")
-        shown = None
+        shown = called = None
         for r in (x for x in results if x["file_path"] == path):
             if kind != "callees":
                 lines.append(f"    {_where(r)}{_detail(kind, r)}")
                 continue
             if shown != _where(r):
-                shown = _where(r)
+                shown, called = _where(r), None
                 lines.append(f"    {shown}")
-            at = f" -> {', '.join(r['defined_in'])}" if r["defined_in"] else " (not defined in the indexed code)"
-            lines.append(f"      calls {r['callee_name']} at line {r['line']}{at}")
+            if called == (r["callee_name"], r["line"]):
+                lines[-1] += f", {r['defined_at']}"  # one more place of the same callee
+                continue
+            called = (r["callee_name"], r["line"])
+            lines.append(f"      calls {r['callee_name']} at line {r['line']}" + (f" -> {r['defined_at']}" if r["defined_at"] else " (not defined in the indexed code)"))
     return "\n".join(lines)
 
 
 def describe_history(name: str, rows: list[dict]) -> str:
-    """Lineages and their versions (rows of ``operators.lineage.history``) as text."""
+    """Lineages and their versions (rows of ``VersionedIndex.history``) as text, with what changed where diffs are there."""
     if not rows:
         return f"History of {name}: no function named '{name}' in the versioned index."
     groups: dict = {}
@@ -86,25 +90,38 @@ def describe_history(name: str, rows: list[dict]) -> str:
         last = groups[k][-1]
         out.append(f"  {last['file_path']}::{last['qualname']}  ({_many(len(groups[k]), 'version')})")
         for r in groups[k]:
-            till = r["valid_through"]
-            span = str(r["seq_added"]) + ("" if till == r["seq_added"] else f"..{'' if till is None else till}")
+            span = lineage.span(r["version_added"], r["valid_through"])
             out.append(f"    {span:<8} {r['change']:<9} {r['file_path']}:{r.get('line_start', '')}-{r.get('line_end', '')}")
+            if r.get("diff"):
+                out += ["      " + x for x in r["diff"].splitlines() if x.startswith(("+", "-")) and not x.startswith(("+++", "---"))]
+            elif r.get("diff_note"):
+                out.append(f"      (diff {r['diff_note']})")
     return "\n".join(out)
 
 
-def answer(query: str, defs: DataFrame | None, calls: DataFrame | None, semantic: Callable[[str], DataFrame] | None = None, history: Callable[[str], DataFrame] | None = None) -> Answer:
-    """Only the rows of one answer come to the driver, for its text; ``rows`` stays lazy."""
+def _shown(rows: DataFrame, most: int) -> tuple[list[dict], str]:
+    """The first rows of an answer, and a line that says so where there are more."""
+    found = [r.asDict() for r in rows.limit(most + 1).collect()]
+    return found[:most], "" if len(found) <= most else f"\n(only the first {most} rows are shown)"
+
+
+def answer(query: str, defs: DataFrame | None, calls: DataFrame | None, semantic: Callable[[str], DataFrame] | None = None, history: VersionedIndex | None = None, most: int = 1000) -> Answer:
+    """Route a question and answer it. ``rows`` is the whole answer and stays lazy; for the text, its first ``most`` rows
+    come to the driver."""
     intent = classify(query)
     if intent is None:
-        rows = semantic(query) if semantic else None
-        return Answer("semantic", rows=rows, text="" if semantic else "Not a call-graph question; use the semantic retrieval pipeline.")
+        if semantic is None:
+            return Answer("semantic", text="Not a call-graph question; use the semantic retrieval pipeline.")
+        rows = semantic(query)
+        found, more = _shown(rows, most)
+        return Answer("semantic", rows=rows, text=f"{len(found)} semantic results{more}", results=found)
     a = intent.names
     if intent.kind == "history":
         if history is None:
             return Answer("history", "history", a, text="This is a version-history question; no versioned index was supplied.")
-        rows = history(a[0])
-        found = [r.asDict() for r in rows.collect()]
-        return Answer("history", "history", a, rows, describe_history(a[0], found), found)
+        rows = history.history(a[0], with_diffs=True)
+        found, more = _shown(rows, most)
+        return Answer("history", "history", a, rows, describe_history(a[0], found) + more, found)
     if defs is None or calls is None:
         raise ValueError("a structural question needs a call graph")
     rows = {
@@ -114,6 +131,6 @@ def answer(query: str, defs: DataFrame | None, calls: DataFrame | None, semantic
         "before": lambda: callgraph.calls_before(defs, calls, a[0], a[-1]),
         "transitive": lambda: callgraph.transitive_callers(defs, calls, a[0]),
     }[intent.kind]()
-    found = [r.asDict() for r in rows.collect()]
+    found, more = _shown(rows, most)
     known = bool(found) or callgraph.is_defined(defs, a[0])
-    return Answer("structural", intent.kind, a, rows, describe(intent.kind, a, found, known), found)
+    return Answer("structural", intent.kind, a, rows, describe(intent.kind, a, found, known) + more, found)

@@ -25,6 +25,7 @@ from ..functions.embed import hashed_bow
 from ..functions.text import vector_id
 from ..operators import dense, diff, extract, fusion, lineage, sparse
 from ..operators.ranking import LARGEST, row_number_of_few, spread_row_number
+from ..session import written
 from ..sources.code_files import changed_files
 
 ROWS = "row_id long, snippet_id string, file_path string, qualname string, kind string, language string, ordinal int, line_start int, line_end int, version_added string, version_removed string, seq_added int, seq_removed int, lineage_id long"
@@ -321,21 +322,20 @@ class VersionedIndex:
         ask = self.embed(queries.select(F.col("query_id").alias("id"), "text"), "id", "text")
         lists = lambda n: [dense.search(pool, ask, max(n, 1))] + ([sparse.search(self._bm25_of(lo, hi), queries, "query_id", "text", max(n, 1))] if use_bm25 else [])
         cand = max(candidates, 4 * k) if grouped else candidates
-        made = lists(min(cand, size))
-        whole = cand >= size
-        while True:
-            cuts = [x.where(F.col("rank") <= cand) for x in made]
-            ranked = fusion.fuse(cuts, [1.0, bm25_weight]) if use_bm25 else cuts[0]
-            if not grouped:
-                hit = ranked.where(F.col("rank") <= k).join(rows, F.col("id") == F.col("vector_id"))
-                return hit.select("query_id", "rank", "score", *[c.split(" ")[0] for c in ROWS.split(", ")], "valid_through")
-            out = lineage.grouped_results(ranked, rows, k, ("kind", "line_start", "line_end", "version_added", "version_removed", "valid_through"), "version_added")
-            if cand >= size or queries.select("query_id").join(out.groupBy("query_id").count().where(F.col("count") >= k), "query_id", "left_anti").isEmpty():
-                labels = self.table("versions").select(F.col("seq").alias("matched_seq"), F.col("version").alias("matched_version"))
-                return out.join(labels, "matched_seq", "left").drop("shown_seq", "seq_removed")
-            cand *= 2
-            if not whole:
-                made, whole = [x.persist() for x in lists(size)], True
+        made = [lists(min(cand, size))]
+
+        def ranked_at(n: int) -> DataFrame:
+            if n > cand and len(made) == 1:
+                made.append([written(x, "ranked") for x in lists(size)])
+            cuts = [x.where(F.col("rank") <= n) for x in made[-1]]
+            return fusion.fuse(cuts, [1.0, bm25_weight]) if use_bm25 else cuts[0]
+
+        if not grouped:
+            hit = ranked_at(cand).where(F.col("rank") <= k).join(rows, F.col("id") == F.col("vector_id"))
+            return hit.select("query_id", "rank", "score", *[c.split(" ")[0] for c in ROWS.split(", ")], "valid_through")
+        out = lineage.widened(ranked_at, queries, rows, k, cand, size, ("kind", "line_start", "line_end", "version_added", "version_removed", "valid_through"), "version_added")
+        labels = self.table("versions").select(F.col("seq").alias("matched_seq"), F.col("version").alias("matched_version"))
+        return out.join(labels, "matched_seq", "left").drop("shown_seq", "seq_removed")
 
     @staticmethod
     def describe_result(r: dict) -> str:

@@ -26,7 +26,3 @@ def index_stream(listings: DataFrame, index: VersionedIndex, checkpoint: str) ->
 
     return listings.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
-
-def event_rates(events: DataFrame, window: str = "1 hour", late: str = "30 minutes") -> DataFrame:
-    """Events per type and tumbling window of a stream or table ``ts, event_type``, with a watermark for late ones."""
-    return events.withWatermark("ts", late).groupBy(F.window("ts", window).alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "event_type", "n")
