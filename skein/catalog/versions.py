@@ -25,15 +25,15 @@ def _pairs(snapshots: DataFrame) -> DataFrame:
     return snapshots.select("repo", "seq").distinct().select("repo", F.lag("seq").over(w).alias("before"), "seq").where("before is not null")
 
 
-def _scans(spark, d):
+def _scans(spark, d, more=("kind", "language", "line_start", "line_end")):
     s = table(spark, d, "snippet_scans").where("repo is not null and seq is not null")
     sid = clean_id(F.col("snippet_id"))
-    return s.groupBy("repo", "seq", *diff.KEY).agg(F.max_by(F.struct(sid.alias("snippet_id"), "kind", "language", "line_start", "line_end"), F.struct("scanned_at", sid)).alias("l")).select("repo", "seq", *diff.KEY, "l.*")
+    return s.groupBy("repo", "seq", *diff.KEY).agg(F.max_by(F.struct(sid.alias("snippet_id"), *more), F.struct("scanned_at", sid)).alias("l")).select("repo", "seq", *diff.KEY, "l.*")
 
 
 def _diff(spark, d):
     """The classes of every version against the nearest earlier one of its repository, with the places of moves."""
-    s, pairs = _scans(spark, d).select("repo", "seq", *diff.KEY, "snippet_id"), _pairs(table(spark, d, "snippet_scans").where("repo is not null and seq is not null"))
+    s, pairs = _scans(spark, d, ()), _pairs(table(spark, d, "snippet_scans").where("repo is not null and seq is not null"))
     old = s.withColumnRenamed("seq", "before").join(pairs, ["repo", "before"]).drop("before")
     return diff.diff_snippets(old, s.join(pairs.drop("before"), ["repo", "seq"]), ["repo", "seq"])
 
@@ -199,7 +199,7 @@ def changed_listing(spark: SparkSession, d: str) -> DataFrame:
 
 def ranges_and_scans(spark: SparkSession, d: str) -> DataFrame:
     """Per repository: records of the last full scan, rows that the ranges hold valid, and how many of them are the same."""
-    scans = _scans(spark, d)
+    scans = _scans(spark, d, ())
     last = table(spark, d, "snippet_scans").where("repo is not null").groupBy("repo").agg(F.max("seq").alias("seq"))
     full = scans.join(last, ["repo", "seq"]).select("repo", *diff.KEY, "snippet_id", F.lit(1).alias("s"), F.lit(0).alias("r"))
     kept = _rows(spark, d).where("seq_removed is null").select("repo", *diff.KEY, "snippet_id", F.lit(0).alias("s"), F.lit(1).alias("r"))

@@ -78,7 +78,8 @@ def state_at(store: DataFrame, key: list[str], attrs: list[str], seq: int, every
     ``every`` patches, however long its history. Rows with a null ``seq`` are older than all versions.
     """
     rows = store.where((F.col("_bucket") <= seq // every) | F.col("_bucket").isNull()).where((F.col("seq") <= seq) | F.col("seq").isNull())
-    latest = F.max(F.coalesce(F.col("_bucket"), F.lit(-1))).over(Window.partitionBy(*key))
+    # a run counts once something happened in it; a checkpoint alone does not tell whether the entity has ended
+    latest = F.max(F.when(F.col("_kind") == 1, F.coalesce(F.col("_bucket"), F.lit(-1)))).over(Window.partitionBy(*key))
     near = rows.withColumn("_latest", latest).where(F.coalesce(F.col("_bucket"), F.lit(-1)) == F.col("_latest")).drop("_latest")
     states = replay(near, key, attrs).where(F.col("_kind") == 1)
     last = F.row_number().over(Window.partitionBy(*key).orderBy(F.desc_nulls_last("seq")))

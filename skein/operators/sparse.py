@@ -95,13 +95,13 @@ def _blocks(counted: DataFrame, key: str, rows: int, weigh, spark: SparkSession)
         part, n = TaskContext.get().partitionId(), 0
         held: list[pd.DataFrame] = []
 
-        def out() -> pd.DataFrame:
+        def out() -> list[pd.DataFrame]:
             nonlocal n
             pdf = pd.concat(held)
             held.clear()
             sizes = pdf["terms"].map(len).to_numpy()
             if not sizes.sum():
-                return pd.DataFrame({"term": [], "block": [], "ids": [], "at": [], "w": []})
+                return []
             at = np.repeat(np.arange(len(pdf)), sizes)
             w = weigh(np.concatenate(pdf["tfs"].to_list()), np.repeat(pdf["dl"].to_numpy(), sizes))
             number, names = pd.factorize(np.concatenate(pdf["terms"].to_list()))
@@ -109,15 +109,15 @@ def _blocks(counted: DataFrame, key: str, rows: int, weigh, spark: SparkSession)
             cuts = np.cumsum(np.bincount(number))[:-1]
             ids = pdf[key].to_numpy()[at]
             n += 1
-            return pd.DataFrame({"term": names, "block": part * (1 << 24) + n, "ids": np.split(ids[order], cuts), "at": np.split(at[order].astype(np.int32), cuts), "w": np.split(w[order], cuts)})
+            return [pd.DataFrame({"term": names, "block": part * (1 << 24) + n, "ids": np.split(ids[order], cuts), "at": np.split(at[order].astype(np.int32), cuts), "w": np.split(w[order], cuts)})]
 
         for pdf in batches:
             for a in range(0, len(pdf), rows):
                 if held and sum(map(len, held)) + len(pdf.iloc[a : a + rows]) > rows:
-                    yield out()
+                    yield from out()
                 held.append(pdf.iloc[a : a + rows])
         if held:
-            yield out()
+            yield from out()
 
     kind = counted.schema[key].dataType.simpleString()
     return counted.select(key, "dl", "terms", "tfs").mapInPandas(pack, f"term string, block long, ids array<{kind}>, at array<int>, w array<double>")
