@@ -55,12 +55,13 @@ _LOOKALIKE = str.maketrans("асеорхукітвнмѕԁјһӏαοερτνικ
 _LEET = str.maketrans("0134578@$!|€", "oieastbasile")
 _INVISIBLE = re.compile("[­͏؜ᅟᅠ឴឵᠋-᠎​-‏‪-‮⁠-⁯︀-️﻿]")
 _CODE = re.compile(r"`(?P<quoted>[^`\n]*)`|\b\w+\(\)|(?P<snake>\b[A-Za-z]+(?:_[A-Za-z0-9@$!|€]+)+(?!\w))|(?P<camel>\b[a-z]+(?:[A-Z][a-z0-9]+)+\b)|https?://\S+|#\d\w*")
-_WORDS = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*(?:[ ,;:!?.]+[^\W\d_]+(?:['’-][^\W\d_]+)*)*[ !?.]*")
+_WORDS = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*(?:[,;:!?.]* +[^\W\d_]+(?:['’-][^\W\d_]+)*)*[ !?.]*")
 _HUMP = re.compile(r"[A-Z]?[a-z0-9]+")
 _LETTERED = re.compile(r"[0134578@$!|€]+(?=[^\W\d_])")
 _DIGITS = re.compile(r"\d+")
 _SPACED = re.compile(r"(?<![^\W_])(?:[^\W\d_][-._* ~/+|]{1,2}){2,}[^\W\d_](?![^\W_])")
 _SPLIT = re.compile(r"(?<=[.!?;:])\s+|[\n\r]+|\s+[-–—]\s+|(?<=[,])\s+")
+_HASHTAG = re.compile(r"#(?=[^\W\d_])")
 _REPEAT = re.compile(r"(.)\1{2,}")
 _DROP = re.compile(r"(?<=[a-z])[-*._~'’](?=[a-z])")
 _OTHER = re.compile(r"[^a-z*#]+")
@@ -97,7 +98,7 @@ def _named(m: re.Match) -> str:
 def plain(text: str) -> str:
     """A sentence in plain letters: look-alikes, invisible marks, letter swaps and spacing undone, names of code as ``#``."""
     t = text if text.isascii() else _INVISIBLE.sub("", text)
-    t = _CODE.sub(_named, t)
+    t = _HASHTAG.sub("", _CODE.sub(_named, t))
     if not t.isascii():
         t = unicodedata.normalize("NFKD", t).lower().translate(_LOOKALIKE)
         t = "".join(c for c in t if not unicodedata.combining(c))
@@ -453,3 +454,18 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
 def rates(scored: DataFrame) -> DataFrame:
     """Per source: documents, flagged ones and their share."""
     return scored.groupBy("source").agg(F.count("*").alias("n_docs"), F.sum(F.col("flagged").cast("long")).alias("n_flagged"), F.round(F.avg(F.col("flagged").cast("double")), 6).alias("rate"))
+
+
+def checks(docs: DataFrame, scored: DataFrame) -> DataFrame:
+    """Per source: documents, flagged ones without a score, empty ones with one, and texts whose copies score differently."""
+    d = docs.select("doc_id", F.xxhash64("text").alias("h"), (F.coalesce(F.col("text"), F.lit("")) == "").alias("empty"))
+    s = scored.join(d, "doc_id")
+    per = s.groupBy("source").agg(F.count("*").alias("n_docs"), F.count_if(F.col("flagged") & F.col("score").isNull()).alias("n_flagged_unscored"), F.count_if(F.col("empty") & F.col("score").isNotNull()).alias("n_empty_scored"))
+    apart = s.where("not empty").groupBy("source", "h").agg(F.count_distinct(F.coalesce("score", F.lit(-99.0))).alias("n")).groupBy("source").agg(F.count_if(F.col("n") > 1).alias("n_copies_apart"))
+    out = per.join(apart, per["source"].eqNullSafe(apart["source"]), "left").select(per["source"], "n_docs", "n_flagged_unscored", "n_empty_scored", F.coalesce("n_copies_apart", F.lit(0)).alias("n_copies_apart"))
+    return out
+
+
+SQL = {
+    "p8_checks": """select regexp_replace(lower(trim(source)), '[\\s_-]+', '_', 'g') source, count(*) n_docs, cast(0 as bigint) n_flagged_unscored, cast(0 as bigint) n_empty_scored, cast(0 as bigint) n_copies_apart from documents group by 1""",
+}

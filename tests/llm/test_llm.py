@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from skein.functions.text import count_terms
 from skein.llm import abuse, javascript_source, mixing, packing, parsing, python_source, splitting, terms, tokens
-from skein.llm.gll import Grammar, folded
+from skein.llm.gll import Grammar
 
 # ---- splitting
 
@@ -105,7 +105,9 @@ def test_pack_keeps_copies_apart_and_fills():
     assert max(pairs.values()) == 1
     assert sum(sizes) / (512 * len({b for _, _, b, _ in got})) > 0.99
     third = packing.pack([10] * 900, 500, clusters=[0] * 300 + list(range(1, 601)))
-    assert len({b for _, _, b, _ in third}) <= 19  # a huge group of copies does not blow up the bins
+    assert max(Counter(b for i, _, b, _ in third if i < 300).values()) == 1  # copies stay apart, however many
+    dealt = packing.pack([10] * 900, 500, clusters=[0] * 300 + list(range(1, 601)), max_copies=25)
+    assert len({b for _, _, b, _ in dealt}) <= 19 and max(Counter(b for i, _, b, _ in dealt if i < 300).values()) <= 25
     assert packing.pack([], 5) == [] and packing.pack([0, 0], 5, clusters=[1, 1]) == [(0, 0, 0, 0), (1, 0, 0, 0)]
 
 
@@ -119,6 +121,30 @@ def test_pack_documents(spark):
     assert sum(r["n_tokens"] for r in got if r["doc_id"] == 1) == 2 * n and {r["doc_id"] for r in got} == {1, 2, 3, 4}
     assert packing.pack_documents(docs.where("false"), specs).count() == 0
     assert packing.fill_report(packing.pack_documents(docs, specs), specs).first()["fullest"] == 512
+    assert packing.pack_documents(docs, specs.where("false")).count() == 0
+    with pytest.raises(ValueError):
+        packing.pack_documents(docs, spark.createDataFrame([("none", 0)], "container string, capacity_tokens int"))
+
+
+def test_packing_does_not_depend_on_layout(spark):
+    rng = random.Random(4)
+    rows = [(i, rng.choice(["Code Files", "chat-exports", "readmes", None]), " ".join("".join(rng.choices("abcdefgh", k=3)) for _ in range(rng.randrange(3, 60)))) for i in range(300)]
+    rows += [(1000 + i, "readmes", "the very same text of a row") for i in range(60)] + [(7, "readmes", "again and again")] * 9
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    specs = spark.createDataFrame([("short", 128), ("long", 700)], "container string, capacity_tokens int")
+    got = [sorted(map(tuple, packing.pack_documents(x, specs, block=64).collect())) for x in (docs.repartition(1), docs.repartition(7, "text"), docs.orderBy("text"))]
+    assert got[0] == got[1] == got[2] and len(got[0]) >= 2 * len(rows)
+    unique = docs.dropDuplicates(["doc_id"])
+    found = [r.asDict() for r in packing.checks(unique, packing.pack_documents(unique, specs, block=64), specs).collect()]
+    assert [sum(v for k, v in r.items() if k not in ("container", "n_docs")) for r in found] == [0, 0] and {r["n_docs"] for r in found} == {360}
+    fill = {r["container"]: r["filled"] for r in packing.fill_report(packing.pack_documents(docs, specs, block=64, apart=()), specs).collect()}
+    assert fill["short"] > 0.85
+
+
+def test_cluster_keys(spark):
+    pairs = [("A b,  C!", "a B c 12"), ("12", "12"), ("12", "13"), ("", ""), (None, None), ("é", "é")]
+    df = spark.createDataFrame(pairs, "x string, y string").select((packing.cluster_key(F.col("x")) == packing.cluster_key(F.col("y"))).alias("same"))
+    assert [r["same"] for r in df.collect()] == [True, True, False, None, None, True]
 
 
 # ---- mixing
@@ -163,7 +189,33 @@ def test_gll_handles_ambiguity_and_left_recursion():
     assert g.accepts(("e",), ("a", "+", "a", "*", "a")) == {"e"} and not g.accepts(("e",), ("a", "+"))
     d = Grammar("x: a b* c?\ny: ( a | b )+")
     assert d.accepts(("x", "y"), ("a", "b", "b")) == {"x", "y"} and d.accepts(("x", "y"), ("a", "c")) == {"x"}
-    assert folded(["NAME"] + [",", "NAME"] * 20) == ("NAME", ",", "NAME", ",", "NAME")
+
+
+LISTS_JS = ["export {{ {} }} from 'm'", "f({})", "x = [{}]", "({}) => 1", "var {{ {} }} = o", "[{}] = o", "import {{ {} }} from 'm'", "x = {{ {} }}", "({})", "function f({}) {{}}", "export {{ {} }}"]
+LISTS_PY = ["f({})", "x = [{}]", "x = ({})", "x = {{{}}}", "del ({})", "({}) = y", "from m import ({})", "x[{}]", "with ({}): pass", "lambda {}: 1"]
+
+
+@pytest.mark.parametrize("form", LISTS_JS)
+@pytest.mark.parametrize("item", ["a", "'a'", "1", "a = 1", "...a", "a as b", "a: b", "-a", "if", ""])
+def test_javascript_lists_of_any_length(form, item):
+    """The verdict of a list depends on its items, not on how many there are; nor does an odd one out get lost."""
+    one = javascript_source.accepts(form.format(item + ", " + item))
+    for n in (8, 9, 15, 16, 17, 18, 100, 3000):
+        many = [item] * n
+        assert javascript_source.accepts(form.format(", ".join(many))) == one, n
+        for at in (0, n // 2, n - 1):
+            assert not javascript_source.accepts(form.format(", ".join([*many[:at], "a b", *many[at + 1 :]])))
+
+
+@pytest.mark.parametrize("form", LISTS_PY)
+@pytest.mark.parametrize("item", ["a", "'a'", "1", "a=1", "*a", "**a", "a: b", "a as b", "-1", "a for a in b", "lambda a, b: c", ""])
+def test_python_lists_of_any_length(form, item):
+    for n in (2, 8, 9, 15, 16, 17, 100):
+        for tail in ("", ",", ", 1", ", z=2", ", *z", ", **z"):
+            text = form.format(", ".join([item] * n) + tail)
+            if "a=1" not in item and "**" not in item and "=" not in tail or form in ("f({})", "lambda {}: 1"):
+                got = python_source.accepts(text)
+                assert got == python_ok(text), text[-60:]
 
 
 GOOD_PY = [
@@ -206,12 +258,16 @@ def test_python_grammar_on_damaged_code(spark):
 
 
 GOOD_JS = [
-    "", "a\n++b", "x = y / 2 / z", "if (a) b\nelse c", "for (const x of y) z()", "async () => { await x }", "let {a, b: [c]} = d", "class A { #x = 1; static y; get z() { return 1 } static { f() } }", "`a${`b${c}`}`", "x?.y?.[1]?.(2)", "l: for(;;) { continue l }",
+    "", "(a ?? b) || c", "(-1) ** 2", "2 ** -1", "0n", "0777", "089.5", "import {default as a} from 'x'", "export {default} from 'x'", "for(;;) if (x) break; else continue", "switch (a) { case 1: { break } }", "for (;;) switch (a) { case 1: continue }", "a: { break a }",
+    "do break; while (0)", "for (const x of y) { try { break } finally { continue } }", "let\n[a] = b", "if (0) function f() {} else function g() {}", "<!-- html\nx = 1", "x\n--> y", "x = {break: 1}.break", "/(?<a>x)(?<b>y)/", "for (x in a, b) ;",
+    "a\n++b", "x = y / 2 / z", "if (a) b\nelse c", "for (const x of y) z()", "async () => { await x }", "let {a, b: [c]} = d", "class A { #x = 1; static y; get z() { return 1 } static { f() } }", "`a${`b${c}`}`", "x?.y?.[1]?.(2)", "l: for(;;) { continue l }",
     "export default class {}", "import a, {b as c} from 'd'", "do x\nwhile(y)", "a = {b, c() {}, get d() { return 1 }, [e]: 1, ...f}", "function* g() { yield* x; yield }", "new Foo.Bar(1).baz", "(a, b) => ({a})", "x = function() {}\ny()", "if (a) { b } else if (c) { d }\nelse e",
     "switch (a) { case 1: b; break\ndefault: c }", "try { a } catch { b } finally { c }", "[a, b] = [b, a]", "({a} = b)", "async function f() { for await (const x of y) z }", "a ? b : c ? d : e", "/[/]/.test(x)", "x = a\n/b/c", "1_000n ** 2n", "await x", "// c", "x = {if: 1}", "a\n(b)",
     "if (x) return_1\n", "class B extends (A) {}", "let async = 1\nasync()", "x = async y => await y", "get = 1\nset = 2\nof = 3", "#!/bin/sh\nx", "'\\u{1F600}'", "a ??= b && c", "x = #p in y" if False else "class A { #p; has(y) { return #p in y } }", "if (a) delete b.c\nelse out.push(...d, { ...e, [`f`]: 1 })",
 ]
 BAD_JS = [
+    "a ?? b || c", "a && b ?? c", "-1 ** 2", "async function f() { await x ** 2 }", "0777n", "0_7", "07.5", "import {a as default} from 'x'", "export {default}", "export {if as x}", "function f() { break }", "if (x) continue", "switch (a) { case 1: continue }",
+    "for (;;) { (() => { break })() }", "a: break\n", "while (1) let\n[a] = 1", "/(?<a>x)(?<a>y)/", "if (0) function* f() {}", "while (0) function f() {}", "class A { static { break } }", "<!-- html\nimport 'x'",
     "return 1", "let a = ", "function f( {", "{", "a b", "if (a", "x = {a: 1", "foo(", "1a", "'abc", "`abc", "/* x", "const a;", "<<<<<<< HEAD\na\n=======\nb\n>>>>>>> x", "def f(x):\n    return x", "interface A { x: number; }", "function f(x: A): number { return 1 }", "for (x of) y", "new", "a +",
     "} ", "f(a b)", "f() = 1", "import {a from 'b'", "else x", "import re\nfrom .batch import load", "# title\n\ntext", ".a > .b { c: d; }", "'\\x1'", "a => {", "function () {}", "class { }", "/(/", "x = {a: 1,, b}", "({a = 1})", "function f() { await x }", "steps:\n  - run: make check",
 ]
@@ -266,7 +322,7 @@ def test_abuse_held_out():
 
 
 def test_abuse_edges(spark):
-    assert abuse.plain("c-r-e-t-i-n, sh\u00adut  UP l4zy idi0t `code_name` fooBar 12") == abuse.plain("cretin, shut up lazy idiot `x` foo_bar 7")
+    assert abuse.plain("c-r-e-t-i-n, sh\u00adut  UP l4zy idi0t `code_name` fooBar 12") == abuse.plain("cretin, shut up lazy idiot `x_y` foo_bar 7")
     assert np.isnan(abuse.train([], []).score(["", None])).all() and abuse.train(["a"], [0]).score(["some words here"])[0] == -1
     model = abuse.train(*corpus(200, 1)[:2], landmarks=60)
     assert model.score(["x " * 200_000 + ". you are a pathetic moron"])[0] > 0
@@ -285,7 +341,26 @@ def test_abuse_disguise_outlives_code_names(text):
 
 def test_abuse_code_names_stay_masked():
     assert abuse.plain("@sshole") == "asshole" and abuse.plain("b@stard") == "bastard"
-    assert abuse.plain("see row_id parse_config x_y toUpperCase isOk f() `a_b_c` #12") == abuse.plain("see `a` `b` `c` `d` `e` `f` `g` #1")
+    assert abuse.plain("see row_id parse_config x_y toUpperCase isOk f() `a_b_c` #12") == abuse.plain("see `a()` `b=1` `c.d` `d[0]` `e{}` `f_f` `g/h` #1")
+
+
+def test_abuse_short_and_quoted_passages():
+    assert abuse.passages("KYS! Die.") == [" kys ", " die "] and abuse.passages("You suck. KYS.") == ["you suck", " kys "]
+    assert abuse.passages("`you idiot`") == ["you idiot"] and abuse.passages("#idiot, @idiot") == ["idiot", "aidiot"]
+    assert abuse.passages("... !? `x_y`") in ([], ["#"], [" # "])
+    texts = [f"see the row {i}. " + ("KYS." if i % 3 == 0 else "try it.") for i in range(120)]
+    model = abuse.train(texts, [int(i % 3 == 0) for i in range(120)], landmarks=40)
+    s = model.score(["all is well. KYS!", "all is well. try it.", "kys", "try"])
+    assert s[0] > 0 > s[1] and s[2] > 0 > s[3]
+
+
+def test_abuse_training_bounds(spark):
+    texts, labels, _ = corpus(120, 3)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rates = spark.createDataFrame([(i, t) for i, t in enumerate(labels)], "doc_id long, toxic int")
+    a, b = abuse.fit(docs, rates), abuse.fit(docs.repartition(5), rates.repartition(3))
+    assert a.bias == b.bias and (a.table == b.table).all() and a.score(["you are a pathetic moron"])[0] > 0
+    assert abuse.fit(docs, rates, max_chars=0).score(["some words"])[0] == -1 and abuse.fit(docs, rates.where("false")).bias == -1
 
 
 # ---- the queries
