@@ -9,6 +9,7 @@ function folds into one weight per subsequence: a table of 2^20 floats, whatever
 Ratings are of whole documents and some are wrong, so sentences are labelled in rounds: at first each sentence has its
 document's label; then of a document rated abusive only the passage that scores highest stays positive, documents
 in which nothing scores are set aside as misrated, and the highest passages of other documents come in as negatives.
+Runs of words that several abusive documents share and clean ones lack are positives from the first round to the last.
 A document's score is that of its highest passage: a sentence or a run of words of it, however short.
 """
 
@@ -17,6 +18,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections import Counter
+from functools import cache
 from itertools import combinations
 from zlib import crc32
 
@@ -45,6 +47,9 @@ COST = 2.0
 TRUST = (-9.0, -0.6, -0.2, 0.1, 0.25)
 #: A negative passage weighs half the clean documents that hold it, up to this.
 WEIGHTIEST = 30.0
+#: A run of words is vouched for by so many documents rated abusive, if its share of the clean ones is at most this part of
+#: its share of those. Passages that hold one stay positive in all rounds and are never taken for negatives.
+VOUCHED, MISRATED = 5, 0.06
 #: Widths in words of the runs that are scored beside whole sentences.
 WIDTHS = (3, 5, 8, 12)
 
@@ -142,10 +147,10 @@ def norm(length: np.ndarray) -> np.ndarray:
     return np.sqrt(sum(w * w * np.maximum(n - c, 0) for _, _, c, w in _PATTERNS) + 20.0)
 
 
-def runs(passage: str) -> list[str]:
+def runs(passage: str, widths: tuple[int, ...] = WIDTHS) -> list[str]:
     """The passage and all its runs of words of the widths that are scored."""
     w = passage.split(" ")
-    return [passage, *(" ".join(w[i : i + k]) for k in WIDTHS for i in range(len(w) - k + 1))]
+    return [passage, *(" ".join(w[i : i + k]) for k in widths for i in range(len(w) - k + 1))]
 
 
 class Model:
@@ -334,14 +339,26 @@ def train(texts: list[str], toxic: list[int], landmarks: int = LANDMARKS, rounds
     form = lambda p: " ".join(w if words[w] > 2 else "?" for w in p.split(" "))
     code = lambda r: crc32(r.encode()) & 0xFFFFFF
     at = lambda p: code(form(p))
-    for d, t in zip(docs, y):
+    for d, t in {(tuple(d), t): (d, t) for d, t in zip(docs, y)}.values():  # copies of a document count once
         (in_pos if t else in_neg)[list({code(r) for p in d for r in runs(form(p))})] += 1
 
     def common(p: str) -> bool:
         """As usual in documents rated clean as in those rated abusive, so no evidence of abuse."""
         return int(in_neg[at(p)]) / n_neg > 0.25 * max(1, int(in_pos[at(p)])) / n_pos
 
-    inst = [(p, 1, 1.0 / len(d)) for d, t in zip(docs, y) if t for p in d if not common(p)]
+    def known(r: str) -> int:
+        """In how many documents rated abusive a run of words occurs, 0 if clean ones hold more of it than misrating explains."""
+        k = int(in_pos[at(r)])
+        return k if k >= VOUCHED and in_neg[at(r)] / n_neg <= MISRATED * k / n_pos else 0
+
+    @cache
+    def vouched(p: str) -> str | None:
+        """The run of a passage that most documents rated abusive share and hardly any other; of equally known the longest."""
+        best = max(((known(r), len(r), r) for r in runs(p, (3, 5))), default=(0, 0, ""))
+        return best[2] if best[0] else None
+
+    seeds = list(dict.fromkeys(x for d, t in zip(docs, y) if t for p in d if (v := vouched(p)) for x in ((v, 1, 1.0), (p, 1, 0.5))))
+    inst = [(p, 1, 1.0 / len(d)) for d, t in zip(docs, y) if t for p in d if not common(p)] + seeds
     ns = list({p: None for d, t in zip(docs, y) if not t for p in d})
     ns = [ns[i] for i in rng.permutation(len(ns))[: max(FIRST_NEGATIVES, 4 * len(inst))]]
     weigh = lambda p: min(WEIGHTIEST, max(1.0, 0.5 + 0.5 * int(in_neg[at(p)])))
@@ -365,7 +382,7 @@ def train(texts: list[str], toxic: list[int], landmarks: int = LANDMARKS, rounds
         s, frm, to = model.windows(flat)
         if r == rounds:
             return calibrated(model, s, own, y)
-        positives, best = [], Counter()
+        positives, best = list(seeds), Counter()
         for i in np.argsort(-s, kind="stable"):
             d, p = own[i], flat[i]
             run = p[frm[i] : to[i]]
@@ -376,7 +393,7 @@ def train(texts: list[str], toxic: list[int], landmarks: int = LANDMARKS, rounds
                     positives.append((run, 1, 1.0))
                     if run != p and not common(p):
                         positives.append((p, 1, 0.5))
-            elif best[d] < 4:
+            elif best[d] < 4 and not vouched(p):
                 best[d] += 1
                 hard[run] = float(s[i])
                 if s[i] > -0.9:
