@@ -348,7 +348,8 @@ def test_abuse_short_and_quoted_passages():
     assert abuse.passages("KYS! Die.") == [" kys ", " die "] and abuse.passages("You suck. KYS.") == ["you suck", " kys "]
     assert abuse.passages("`you idiot`") == ["you idiot"] and abuse.passages("#idiot, @idiot") == ["idiot", "aidiot"]
     assert abuse.passages("... !? `x_y`") in ([], ["#"], [" # "])
-    texts = [f"see the row {i}. " + ("KYS." if i % 3 == 0 else "try it.") for i in range(120)]
+    words = [(a, b) for a in "row key list node path tree heap leaf".split() for b in "one two six ten log map set job cat dog end pin tap top van".split()]
+    texts = [f"see the {a} of {b}. " + ("KYS." if i % 3 == 0 else "try it.") for i, (a, b) in enumerate(words)]
     model = abuse.train(texts, [int(i % 3 == 0) for i in range(120)], landmarks=40)
     s = model.score(["all is well. KYS!", "all is well. try it.", "kys", "try"])
     assert s[0] > 0 > s[1] and s[2] > 0 > s[3]
