@@ -65,7 +65,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "snappy").parquet(path)
     if spark.sparkContext.applicationId not in _scratch:
         _scratch.add(spark.sparkContext.applicationId)
         atexit.register(release, spark)
