@@ -96,13 +96,14 @@ def snapshot_diff(df: DataFrame, keys: list[str], value: str, when: str) -> tupl
         *keys, value, F.when(F.col(value).isNotNull(), F.xxhash64(value)).alias("v"), F.coalesce(F.unix_micros("_when"), F.lit(-(1 << 62))).alias("w"),
     )
     w = Window.partitionBy("repo").orderBy("seq")
-    index = df.select("repo", "seq").distinct().select("repo", "seq", (F.row_number().over(w) - 1).alias("idx"), F.lead("seq").over(w).alias("next_seq"))
+    snapshots = cut(df.select("repo", "seq").distinct())  # a row per snapshot; read once for the order and for the names
+    index = snapshots.select("repo", "seq", (F.row_number().over(w) - 1).alias("idx"), F.lead("seq").over(w).alias("next_seq"))
     index = index.select(F.xxhash64("repo").alias("repo_h"), "seq", "idx", "next_seq")
     compact = hashed.select("repo_h", "seq", "h1", "h2", "v", "w")
     n = buckets_for(compact)
     arrays = compact.join(index, ["repo_h", "seq"]).withColumn("bucket", F.pmod(F.hash("h1", "h2"), F.lit(n)))
     found = cut(arrays.groupBy("bucket").applyInPandas(_bucket, _OUT))
-    names = df.select("repo").distinct().select("repo", F.xxhash64("repo").alias("repo_h"))
+    names = snapshots.select("repo").distinct().select("repo", F.xxhash64("repo").alias("repo_h"))
     totals = found.where("change = 'total'").groupBy("repo_h", "seq").agg(F.sum("n").alias("n")).join(names, "repo_h").select("repo", "seq", "n")
     full = hashed.select("repo_h", "repo", F.col("seq").alias("at_seq"), "h1", "h2", *keys, value, "w", "v")
     differing = found.where("change <> 'total'").drop("n")
