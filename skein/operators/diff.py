@@ -46,6 +46,12 @@ def diff_snippets(old: DataFrame, new: DataFrame, group: list[str] | None = None
     return out.select(*group, "change_class", *[F.col(f"{s}.{c}").alias(f"{p}_{c}") for s, p in (("o", "old"), ("n", "new")) for c in cols])
 
 
+def records(diff: DataFrame, change_class: str, group: list[str] | None = None) -> DataFrame:
+    """The records of one class in order of their key: deleted ones by the old key, all others by the new one."""
+    side = "old" if change_class == "deleted" else "new"
+    return diff.where(F.col("change_class") == change_class).orderBy(*(group or []), *[f"{side}_{k}" for k in KEY])
+
+
 def counts(diff: DataFrame, group: list[str] | None = None) -> DataFrame:
     """The number of records of each class, 0 where there are none."""
     classes = ["added", "deleted", "unchanged", "modified", "moved"]

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from skein import session
 from skein.functions.embed import cached, hashed_bow, model_embed
 from skein.functions.text import count_terms
-from skein.operators import callgraph, dense, history, lineage, metrics, ranking, sparse
+from skein.operators import callgraph, dense, diff, history, lineage, metrics, ranking, sparse
 from skein.plans import reindex
 from skein.plans.answer import answer
 from skein.plans.router import controls
@@ -235,6 +235,13 @@ def test_shared_folder(spark, monkeypatch):
         session.shared_dir(Far)
 
 
+def test_records_come_in_order_of_key(spark):
+    cols = "file_path string, qualname string, ordinal int, snippet_id string"
+    old = spark.createDataFrame([("b", "y", 0, "1"), ("b", "x", 1, "2"), ("a", "z", 0, "3"), ("b", "x", 0, "4")], cols)
+    gone = diff.records(diff.diff_snippets(old, old.where("false")), "deleted").collect()
+    assert [(r["old_file_path"], r["old_qualname"], r["old_ordinal"]) for r in gone] == [("a", "z", 0), ("b", "x", 0), ("b", "x", 1), ("b", "y", 0)]
+
+
 def test_controls_and_span():
     assert controls([("who calls f", "callers"), ("sort a list", None), ("history of the war", "history")]) == {"n_controls": 3, "n_controls_right": 2}
     assert lineage.span("v1", "v1") == "v1" and lineage.span("v1", "v4") == "v1..v4"
