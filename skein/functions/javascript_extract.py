@@ -6,9 +6,11 @@ import hashlib
 import re
 
 _TOKEN = re.compile(
-    r"""(?P<gap>\s+)|(?P<com>//[^\n]*|/\*[\s\S]*?\*/)|(?P<tpl>`(?:[^`\\]|\\[\s\S])*`)|(?P<str>'(?:[^'\\\n]|\\[\s\S])*'|"(?:[^"\\\n]|\\[\s\S])*")|(?P<num>\.?\d[\w.]*)|(?P<id>[#A-Za-z_$][\w$]*)|(?P<op>=>|\?\.|\.\.\.|[-+*/%&|^<>=!?]=?|[^\s\w])"""
+    r"""(?P<gap>\s+)|(?P<com>//[^\n]*|/\*[\s\S]*?\*/)|(?P<str>'(?:[^'\\\n]|\\[\s\S])*'|"(?:[^"\\\n]|\\[\s\S])*")|(?P<num>\.?\d[\w.]*)|(?P<id>[#A-Za-z_$][\w$]*)|(?P<op>=>|\?\.|\.\.\.|[-+*/%&|^<>=!?]=?|[^\s\w])"""
 )
 _PATTERN = re.compile(r"/(?![*/])(?:[^/\\\[\n]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/[a-z]*")
+#: A piece of a template literal, up to its end or to a substitution.
+_PIECE = re.compile(r"[`}](?:[^`\\$]|\\[\s\S]|\$(?!\{))*(?:`|\$\{)")
 _WORDS = frozenset(
     "if for while switch catch return function typeof delete void new in of instanceof do else case throw await yield with super import class extends var let const async get set static".split()
 )
@@ -16,14 +18,23 @@ _NOT_CALLED = frozenset("if for while switch catch function with return typeof d
 
 
 def tokens(source: str) -> list[tuple[str, str, int, int]]:
-    """``kind, text, line, col`` without blanks; patterns are told from divisions by what precedes them."""
+    """``kind, text, line, col`` without blanks; patterns are told from divisions by what precedes them. The pieces of a
+    template literal are tokens, and so is what stands in its substitutions."""
     out, pos, line, start = [], 0, 1, 0
     last = ""
+    within: list[int] = []  # open braces in each substitution that is being read
     while pos < len(source):
         m = None
-        if source[pos] == "/" and source[pos + 1 : pos + 2] not in ("/", "*") and (not last or last in "([{,;=:!&|?+-*%<>~^" or last in _WORDS or last == "=>"):
+        piece = source[pos] == "`" or (source[pos] == "}" and within and within[-1] == 0)
+        if piece:
+            m = _PIECE.match(source, pos)
+            if m and source[pos] == "}":
+                within.pop()
+            if m and m.group().endswith("${"):
+                within.append(0)
+        elif source[pos] == "/" and source[pos + 1 : pos + 2] not in ("/", "*") and (not last or last in "([{,;=:!&|?+-*%<>~^" or last in _WORDS or last == "=>"):
             m = _PATTERN.match(source, pos)
-        kind = "str" if m else ""
+        kind = "tpl" if piece and m else "str" if m else ""
         m = m or _TOKEN.match(source, pos)
         if not m:
             pos += 1
@@ -33,7 +44,9 @@ def tokens(source: str) -> list[tuple[str, str, int, int]]:
         if kind != "gap":
             out.append((kind, text, line, pos - start))
             if kind != "com":
-                last = text
+                last = "{" if kind == "tpl" and text.endswith("${") else text
+            if within and kind == "op":
+                within[-1] += (text == "{") - (text == "}")
         if "\n" in text:
             line += text.count("\n")
             start = pos + text.rfind("\n") + 1

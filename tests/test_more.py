@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from skein import session
+from skein.functions import javascript_extract
 from skein.functions.embed import cached, hashed_bow, model_embed
 from skein.functions.text import count_terms
 from skein.operators import callgraph, dense, diff, history, lineage, metrics, ranking, sparse
@@ -235,6 +236,13 @@ def test_shared_folder(spark, monkeypatch):
         session.shared_dir(Far)
 
 
+def test_calls_in_template_literals():
+    code = "function f(a) {\n  return `x ${g(a, `in ${h({b: 1})} y`)} \\` $ {k()}\n${m(a / 2)}` + n()\n}\np(`}`)\n"
+    made = {d["qualname"]: [(c["callee"], c["line"]) for c in d["calls"]] for d in javascript_extract.extract(code)}
+    assert made == {"f": [("g", 2), ("h", 2), ("m", 3), ("n", 3)], "<module>": [("p", 5)]}
+    assert [d["qualname"] for d in javascript_extract.extract("const q = () => `${r()")] == ["q"]
+
+
 def test_records_come_in_order_of_key(spark):
     cols = "file_path string, qualname string, ordinal int, snippet_id string"
     old = spark.createDataFrame([("b", "y", 0, "1"), ("b", "x", 1, "2"), ("a", "z", 0, "3"), ("b", "x", 0, "4")], cols)
