@@ -131,21 +131,22 @@ def bm25_as_of(spark: SparkSession, d: str) -> DataFrame:
     return sparse.search(sparse.build(corpus, "vector_id", "text"), _asks(spark, d), "query_id", "text", 10)
 
 
-def _grouped(spark, d, rows, k=10):
-    """Grouped and ungrouped results over the texts of ``rows``; the lists double until every query has its lineages."""
-    corpus, asks = written(_corpus(spark, d, rows), "corpus"), _asks(spark, d)
+def _lists(spark, d, rows):
+    """``ranked_at(n, asks)``, the best ``n`` texts of ``rows`` for each question; the questions, ``rows`` with the ids of
+    their texts, and how many texts there are."""
+    corpus, asks = written(_corpus(spark, d, rows), "corpus"), written(_asks(spark, d), "asks")
     rows = written(rows, "rows")
     index, size = sparse.build(corpus, "vector_id", "text"), corpus.count()
-    vec = corpus.select("snippet_id", "vector_id")
-    placed = rows.join(vec, "snippet_id", "left")  # vacuumed texts are versions too
-    lists = {}
+    placed = rows.join(corpus.select("snippet_id", "vector_id"), "snippet_id", "left")  # vacuumed texts are versions too
+    return lambda n, some=asks: written(sparse.search(index, some, "query_id", "text", min(n, max(size, 1))), "ranked"), asks, placed, size
 
-    def ranked_at(n: int) -> DataFrame:
-        lists[n] = written(sparse.search(index, asks, "query_id", "text", min(n, max(size, 1))), "ranked")
-        return lists[n]
 
-    found = lineage.widened(ranked_at, asks, placed, k, 4 * k, size)
-    return found, lists[4 * k].where(F.col("rank") <= k), placed
+def _grouped(spark, d, rows, k=10):
+    """Grouped and ungrouped results over the texts of ``rows``; lists double for queries that lack lineages."""
+    ranked_at, asks, placed, size = _lists(spark, d, rows)
+    first = ranked_at(4 * k)
+    longer = lambda n, some: first if n == 4 * k else ranked_at(n, some)
+    return lineage.widened(longer, asks, placed, k, 4 * k, size, steady=True), first.where(F.col("rank") <= k), placed
 
 
 def lineage_search_grouped(spark: SparkSession, d: str) -> DataFrame:

@@ -9,11 +9,13 @@ from __future__ import annotations
 
 import difflib
 from collections.abc import Callable
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import written
 from .ranking import spread_row_number
 
 PLACE = ["file_path", "qualname", "ordinal"]
@@ -147,18 +149,32 @@ def grouped_results(ranked: DataFrame, rows: DataFrame, k: int, show: tuple[str,
     return top.join(shown, "lineage_id").withColumn("matched_differs", F.col("matched_snippet_id") != F.col("snippet_id"))
 
 
-def widened(ranked_at: Callable[[int], DataFrame], queries: DataFrame, rows: DataFrame, k: int, start: int, size: int, show: tuple[str, ...] = (), label: str = "seq_added") -> DataFrame:
+def widened(ranked_at: Callable[[int, DataFrame], DataFrame], queries: DataFrame, rows: DataFrame, k: int, start: int, size: int, show: tuple[str, ...] = (), label: str = "seq_added", steady: bool = False) -> DataFrame:
     """``grouped_results`` from ranked lists that double in length until every query has ``k`` lineages.
 
-    ``ranked_at(n)`` gives the best ``n`` texts of each query; ``size`` is the number of texts there are, with which the
-    widening ends.
+    ``ranked_at(n, queries)`` gives the best ``n`` texts of each query; ``size`` is the number of texts there are, with
+    which the widening ends. ``steady`` says that a longer list only goes on from a shorter one, and that one of fewer
+    than ``n`` has all there is: then a query that has its lineages, or no more texts, is not asked again.
     """
-    n = start
+    n, done = start, []
     while True:
-        out = grouped_results(ranked_at(n), rows, k, show, label)
-        if n >= size or queries.select("query_id").join(out.groupBy("query_id").count().where(F.col("count") >= k), "query_id", "left_anti").isEmpty():
-            return out
+        ranked = ranked_at(n, queries)
+        out = grouped_results(ranked, rows, k, show, label)
+        if n >= size:
+            break
+        if steady:
+            out = written(out, "grouped")
+        short = queries.select("query_id").join(out.groupBy("query_id").count().where(F.col("count") >= k), "query_id", "left_anti")
+        if steady:
+            short = short.join(ranked.groupBy("query_id").count().where(F.col("count") >= n), "query_id", "left_semi").distinct()
+            queries = written(queries.join(short, "query_id", "left_semi"), "queries")
+            short = queries
+        if short.isEmpty():
+            break
+        if steady:
+            done.append(out.join(queries.select("query_id").distinct(), "query_id", "left_anti"))
         n *= 2
+    return reduce(DataFrame.unionByName, [*done, out])
 
 
 def span(first, last) -> str:

@@ -324,7 +324,7 @@ class VersionedIndex:
         cand = max(candidates, 4 * k) if grouped else candidates
         made = [lists(min(cand, size))]
 
-        def ranked_at(n: int) -> DataFrame:
+        def ranked_at(n: int, _=None) -> DataFrame:
             if n > cand and len(made) == 1:
                 made.append([written(x, "ranked") for x in lists(size)])
             cuts = [x.where(F.col("rank") <= n) for x in made[-1]]
