@@ -156,8 +156,8 @@ def lineage_search_grouped(spark: SparkSession, d: str) -> DataFrame:
 
 def lineage_redundancy(spark: SparkSession, d: str) -> DataFrame:
     """Ungrouped searches over all versions: slots that further versions of one lineage take."""
-    _, raw, placed = _grouped(spark, d, _rows(spark, d))
-    return metrics.redundancy(raw.join(placed.select(F.col("vector_id").alias("id"), "lineage_id"), "id"))
+    ranked_at, _, placed, _ = _lists(spark, d, _rows(spark, d))
+    return metrics.redundancy(ranked_at(10).join(placed.select(F.col("vector_id").alias("id"), "lineage_id"), "id"))
 
 
 def search_hits(spark: SparkSession, d: str) -> DataFrame:

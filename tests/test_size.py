@@ -3,6 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
+from skein.catalog import versions
 from skein.operators import lineage, ranking, sparse
 
 
@@ -40,3 +41,10 @@ def test_widening_asks_only_who_lacks(spark):
     out = lineage.widened(ranked_at, ranked.select("query_id").distinct(), rows, 2, 2, 1000, steady=True).collect()
     assert asked == [(2, [1, 2, 3]), (4, [3])]
     assert sorted((r["query_id"], r["rank"], r["lineage_id"]) for r in out) == [(1, 1, 10), (1, 2, 11), (2, 1, 10), (3, 1, 1), (3, 2, 10)]
+
+
+def test_redundancy_takes_one_short_list(spark, monkeypatch):
+    asked, search = [], sparse.search
+    monkeypatch.setattr(sparse, "search", lambda *a: asked.append(a[4]) or search(*a))
+    versions.lineage_redundancy(spark, "/root/testdata/sf0.001")
+    assert asked == [10]
