@@ -67,3 +67,17 @@ def test_dense_task_hands_on_k_results(spark, monkeypatch):
         got = dense.search(v, v, 3, 12)
         assert sorted((r["query_id"], r["rank"], r["id"]) for r in got.collect()) == want
         assert made[-1] == 120 if kept > 1 else 120 < made[-1] <= 40 * 3 * 4
+
+
+def test_hits_shuffle_no_postings(spark, monkeypatch):
+    """Of every list that search_hits makes, only results are exchanged."""
+    plans, search = [], sparse.search
+
+    def seen(*a):
+        out = search(*a)
+        plans.append(out._jdf.queryExecution().executedPlan().toString())
+        return out
+
+    monkeypatch.setattr(sparse, "search", seen)
+    versions.search_hits(spark, "/root/testdata/sf0.001")
+    assert plans and all(p.count("Exchange hashpartitioning") == 1 for p in plans)
