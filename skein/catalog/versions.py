@@ -134,10 +134,12 @@ def bm25_as_of(spark: SparkSession, d: str) -> DataFrame:
 def _lists(spark, d, rows):
     """``ranked_at(n, asks)``, the best ``n`` texts of ``rows`` for each question; the questions, ``rows`` with the ids of
     their texts, and how many texts there are."""
-    corpus, asks = written(_corpus(spark, d, rows), "corpus"), written(_asks(spark, d), "asks")
-    rows = written(rows, "rows")
-    index, size = sparse.build(corpus, "vector_id", "text"), corpus.count()
-    placed = rows.join(corpus.select("snippet_id", "vector_id"), "snippet_id", "left")  # vacuumed texts are versions too
+    rows, asks = written(rows, "rows"), written(_asks(spark, d), "asks")
+    # texts are counted as they come; only their ids are kept
+    corpus = _corpus(spark, d, rows)
+    ids = written(corpus.select("snippet_id", "vector_id"), "ids")
+    index, size = sparse.build(corpus, "vector_id", "text"), ids.count()
+    placed = written(rows.join(ids, "snippet_id", "left"), "placed")  # vacuumed texts are versions too
     return lambda n, some=asks: written(sparse.search(index, some, "query_id", "text", min(n, max(size, 1))), "ranked"), asks, placed, size
 
 

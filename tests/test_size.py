@@ -1,8 +1,11 @@
 """Work and disk of searches that grow with their tables."""
 
+import time
+
 import numpy as np
 from pyspark.sql import functions as F
 
+from skein import session
 from skein.catalog import retrieval, versions
 from skein.operators import dense, lineage, ranking, sparse
 
@@ -81,3 +84,25 @@ def test_hits_shuffle_no_postings(spark, monkeypatch):
     monkeypatch.setattr(sparse, "search", seen)
     versions.search_hits(spark, "/root/testdata/sf0.001")
     assert plans and all(p.count("Exchange hashpartitioning") == 1 for p in plans)
+
+
+def test_written_leaves_no_shuffle(spark):
+    """What a written table shuffled is gone once it is there, without waiting for the garbage of the driver."""
+    files = lambda: {f.getName() for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()) if f.getName().startswith("shuffle_")}
+    setting, before = spark.conf.get(session._SETTING, None), files()
+    df = spark.range(50_000).selectExpr("id % 20000 as k", "id").repartition(3, "k").groupBy("k").count()
+    out = session.written(df, "test")
+    for _ in range(50):
+        if not (left := files() - before):
+            break
+        time.sleep(0.1)
+    assert not left and spark.conf.get(session._SETTING, None) == setting
+    assert out.count() == df.count() == 20_000
+
+
+def test_lists_keep_no_texts(spark, monkeypatch):
+    """Of the texts searched only counts and ids are written, and the rows of lineages are made once."""
+    made, keep = [], versions.written
+    monkeypatch.setattr(versions, "written", lambda df, name: made.append((name, df.columns)) or keep(df, name))
+    versions.search_hits(spark, "/root/testdata/sf0.001")
+    assert [n for n, _ in made].count("rows") == 1 and not [n for n, c in made if "text" in c and n != "asks"]
