@@ -223,15 +223,19 @@ def _store(spark, d) -> VersionedIndex:
     if key not in _STORES:
         ix = VersionedIndex(spark, f"{scratch_dir(spark)}/store-{uuid.uuid4().hex}")
         path = F.concat_ws("/", "repo", "file_path").alias("file_path")
-        record = F.xxhash64("qualname", "ordinal", "snippet_id", "kind", "line_start", "line_end")
-        scans = written(_scans(spark, d).withColumn("h", record), "scans")
+        record = F.xxhash64("qualname", "ordinal", "snippet_id", "kind", "line_start", "line_end").alias("h")
+        scans = written(_scans(spark, d).select("repo", "seq", path, "qualname", "ordinal", "kind", "language", "line_start", "line_end", "snippet_id", record), "scans")
+        # the listings of all scans, each with the scan of its repository that replaces it
+        turns = scans.select("repo", "seq").distinct().withColumn("until", F.lead("seq").over(Window.partitionBy("repo").orderBy("seq")))
+        listed = scans.groupBy("repo", "seq", "file_path").agg(F.hex(F.sum(F.col("h").cast("decimal(38,0)")).cast("string")).alias("file_hash"))
+        listed = written(listed.join(turns, ["repo", "seq"]).select("seq", "until", "file_path", "file_hash"), "listed")
         texts = table(spark, d, "snippet_text").select(clean_id(F.col("snippet_id")).alias("snippet_id"), "text")
-        seqs = [r["seq"] for r in scans.select("seq").distinct().orderBy("seq").collect()]  # a handful of versions
+        seqs = [r["seq"] for r in listed.select("seq").distinct().orderBy("seq").collect()]  # a handful of versions
         for n in seqs:
-            last = scans.where(F.col("seq") <= n).groupBy("repo").agg(F.max("seq").alias("seq"))
-            now = scans.join(last, ["repo", "seq"]).select(path, "qualname", "ordinal", "kind", "language", "line_start", "line_end", "snippet_id", "h")
-            files = now.groupBy("file_path").agg(F.hex(F.sum(F.col("h").cast("decimal(38,0)")).cast("string")).alias("file_hash"))
-            ix.index_snippets(files, lambda paths, now=now: now.join(paths, "file_path", "left_semi").join(texts, "snippet_id", "left"), f"v{n}")
+            files = listed.where((F.col("seq") <= n) & (F.col("until").isNull() | (F.col("until") > n))).select("file_path", "file_hash")
+            # a file changes only with a scan of its repository
+            now = scans.where(F.col("seq") == n)
+            ix.index_snippets(files, lambda paths, now=now: now.join(paths, "file_path", "left_semi"), f"v{n}", texts=texts)
         _STORES[key] = ix
     return _STORES[key]
 

@@ -25,7 +25,7 @@ from ..functions.embed import hashed_bow
 from ..functions.text import vector_id
 from ..operators import dense, diff, extract, fusion, lineage, sparse
 from ..operators.ranking import LARGEST, row_number_of_few, spread_row_number
-from ..session import written
+from ..session import shuffles_dropped, written
 from ..sources.code_files import changed_files
 
 ROWS = "row_id long, snippet_id string, file_path string, qualname string, kind string, language string, ordinal int, line_start int, line_end int, version_added string, version_removed string, seq_added int, seq_removed int, lineage_id long"
@@ -41,6 +41,8 @@ SCHEMAS = {
 LAYOUT = 2
 #: Parts of the row table from which on it is compacted before the next version.
 PARTS = 32
+#: Changed files, or new texts, of which no more go to every task; beyond that Spark pairs partitions.
+SENT = 200_000
 
 
 @dataclass
@@ -69,6 +71,7 @@ class VersionedIndex:
         self._fs = self._fs_path.getFileSystem(spark._jsc.hadoopConfiguration())
         self.manifest = self._read() or {"step": 0, "tables": {}, "floor": 1, "layout": LAYOUT}
         self._bm25: dict[tuple[int, int], sparse.Bm25Index] = {}
+        self._rows: dict[tuple[int, int], DataFrame] = {}
         if self.manifest.get("layout") != LAYOUT:
             # older rows know no lineage: the column is added by reading with the schema, and filled from the ranges
             self.manifest["layout"] = LAYOUT
@@ -103,7 +106,7 @@ class VersionedIndex:
         for name in (*(replace or {}), *(append or {})):
             before = [] if name in (replace or {}) else new["tables"].get(name, [])
             new["tables"][name] = [*before, f"step-{step}/{name}"]
-        with ThreadPoolExecutor(5) as pool:  # the tables of a step don't depend on each other
+        with shuffles_dropped(self.spark), ThreadPoolExecutor(5) as pool:  # the tables of a step don't depend on each other
             list(pool.map(lambda x: self._write(x[0], x[1], f"step-{step}/{x[0]}"), [*(replace or {}).items(), *(append or {}).items()]))
         tmp, final = self._p(f"manifest-{step}.tmp"), self._p(f"manifest-{step}.json")
         out = self._fs.create(tmp, True)
@@ -113,6 +116,7 @@ class VersionedIndex:
             raise RuntimeError(f"step {step} was published by another writer")
         self.manifest = new
         self._bm25.clear()
+        self._rows.clear()
 
     def _write(self, name: str, df: DataFrame, at: str) -> None:
         if "at" not in df.columns and "at int" in SCHEMAS[name]:
@@ -141,9 +145,14 @@ class VersionedIndex:
             return self.spark.createDataFrame([], SCHEMAS[name])
         return self.spark.read.schema(SCHEMAS[name]).parquet(*[f"{self.path}/{p}" for p in at])
 
-    def table(self, name: str) -> DataFrame:
-        """A table as of the last step; of rows and files the latest states."""
+    def table(self, name: str, paths: DataFrame | None = None) -> DataFrame:
+        """A table as of the last step; of rows and files the latest states, of those of the files ``paths`` if given.
+
+        As no state of a row names another file, others are left out before states are merged.
+        """
         df = self._parts(name)
+        if paths is not None:
+            df = df.join(paths, "file_path", "left_semi")
         if name not in ("rows", "files"):
             return df
         key = "row_id" if name == "rows" else "file_path"
@@ -200,9 +209,10 @@ class VersionedIndex:
         made = lambda paths: extract.snippets(files.join(paths, "file_path", "left_semi"), self.strip_comments)
         return self.index_snippets(files, made, version, indexed_at)
 
-    def index_snippets(self, files: DataFrame, snippets: Callable[[DataFrame], DataFrame], version: str, indexed_at: str | None = None) -> IndexStats:
+    def index_snippets(self, files: DataFrame, snippets: Callable[[DataFrame], DataFrame], version: str, indexed_at: str | None = None, texts: DataFrame | None = None) -> IndexStats:
         """Index a full listing ``file_path, file_hash`` whose ``Snippet`` records ``snippets(paths)`` gives for some files.
 
+        Where ``texts`` (snippet_id, text) is given the records need no text, and only texts that are new are fetched.
         Work and writes grow with what changed; of the store only the current rows of changed files are looked at.
         """
         if len(self.manifest["tables"].get("rows", [])) >= PARTS:
@@ -216,7 +226,8 @@ class VersionedIndex:
         def keep(df: DataFrame) -> DataFrame:
             """Stages are tables too: their plans stay short, their sizes are known, and a lost executor takes nothing along."""
             at = f"{tmp}/{uuid.uuid4().hex}"
-            df.write.parquet(at)
+            with shuffles_dropped(self.spark):
+                df.write.parquet(at)
             return self.spark.read.schema(df.schema).parquet(at)
 
         @contextmanager
@@ -226,6 +237,7 @@ class VersionedIndex:
             stats.seconds[name] = round(stats.seconds.get(name, 0) + time.perf_counter() - t, 3)
 
         key, cols = diff.KEY, [c.split(" ")[0] for c in ROWS.split(", ")]
+        sent = lambda df, n: F.broadcast(df) if n <= SENT else df
         try:
             with phase("scan"):
                 changed = keep(changed_files(self.table("files"), files).join(files.select("file_path", "file_hash"), "file_path", "left"))
@@ -234,8 +246,9 @@ class VersionedIndex:
                 stats.files_parsed = stats.files_changed - n.get("removed", 0)
                 stats.files_total = self.manifest.get("n_files", 0) + n.get("new", 0) - n.get("removed", 0)
             with phase("parse"):
-                new = keep(snippets(changed.where("change <> 'removed'").select("file_path")).select(*key, "kind", "language", "line_start", "line_end", "snippet_id", "text"))
-                affected = keep(self.table("rows").where("seq_removed is null").join(changed.select("file_path"), "file_path", "left_semi"))
+                parsed = sent(changed.where("change <> 'removed'").select("file_path"), stats.files_parsed)
+                new = keep(snippets(parsed).select(*key, "kind", "language", "line_start", "line_end", "snippet_id", *(["text"] if texts is None else [])))
+                affected = keep(self.table("rows", sent(changed.select("file_path"), stats.files_changed)).where("seq_removed is null"))
                 n_new, n_affected = new.count(), affected.count()
                 few = n_new + n_affected <= LARGEST
             with phase("diff"):
@@ -263,18 +276,24 @@ class VersionedIndex:
                 n_opened = counts["added"] + counts["modified"] + counts["moved"]
                 links = d.where("change_class = 'modified'").select("old_snippet_id", "new_snippet_id", F.col("new_file_path").alias("file_path"), F.col("new_qualname").alias("qualname"), F.lit(version).alias("version"))
             with phase("embed"):
-                want = d.where("change_class in ('added', 'modified')").select(F.col("new_snippet_id").alias("snippet_id")).distinct()
-                fresh = keep(new.dropDuplicates(["snippet_id"]).join(want, "snippet_id", "left_semi").join(self.table("texts"), "snippet_id", "left_anti").select("snippet_id", "text"))
+                want = d.where("change_class in ('added', 'modified') and new_snippet_id is not null").select(F.col("new_snippet_id").alias("snippet_id")).distinct()
+                want = want.join(self.table("texts").select("snippet_id"), "snippet_id", "left_anti")
+                if texts is None:
+                    fresh = new.select("snippet_id", "text").join(want, "snippet_id", "left_semi")
+                else:
+                    want = keep(want)
+                    fresh = want.join(texts.join(F.broadcast(want), "snippet_id", "left_semi") if n_opened <= SENT else texts, "snippet_id", "left").select("snippet_id", "text")
+                fresh = keep(fresh.dropDuplicates(["snippet_id"]))
                 stats.texts_embedded = fresh.count()
                 made = fresh if stats.texts_embedded else fresh.limit(0)
                 vec = self.embed(made, "snippet_id", "text").select(F.col("id").alias("snippet_id"), F.col("v").cast("array<double>").alias("v"))
-                texts = fresh.join(vec, "snippet_id").select("snippet_id", vector_id(F.col("snippet_id")).alias("vector_id"), "text", "v")
+                stored = fresh.join(vec, "snippet_id").select("snippet_id", vector_id(F.col("snippet_id")).alias("vector_id"), "text", "v")
             with phase("write"):
                 row = self.spark.createDataFrame([(seq, version, indexed_at, stats.files_total, stats.snippets_total, json.dumps(counts))], SCHEMAS["versions"])
                 listed = changed.select("file_path", F.when(F.col("change") != "removed", F.col("file_hash")).alias("file_hash"))
                 at = F.lit(seq).alias("at")
                 parts = {"rows": gone.unionByName(shifted).unionByName(opened).select("*", at), "files": listed.select("*", at), "versions": row}
-                parts |= {"texts": texts} if stats.texts_embedded or seq == 1 else {}
+                parts |= {"texts": stored} if stats.texts_embedded or seq == 1 else {}
                 parts |= {"links": links} if counts["modified"] or seq == 1 else {}
                 # a handful of rows makes one file; a first load keeps its partitions
                 parts = {k: v.coalesce(1) if stats.files_changed < 1000 and k != "texts" else v for k, v in parts.items()}
@@ -295,10 +314,17 @@ class VersionedIndex:
         label = self.table("versions").select(F.col("seq").alias("_seq"), F.col("version").alias("valid_through"))
         return rows.join(label, F.coalesce(F.col("seq_removed") - 1, F.lit(self.manifest.get("seq", 0))) == F.col("_seq"), "left").drop("_seq")
 
+    def _rows_of(self, lo: int, hi: int) -> DataFrame:
+        """Labelled rows of a range with the ids of their vectors; states are merged once until the next step."""
+        if (lo, hi) not in self._rows:
+            rows = self._labelled(lineage.between(self.table("rows"), lo, hi)).withColumn("vector_id", vector_id(F.col("snippet_id")))
+            self._rows[lo, hi] = written(rows, "rows")
+        return self._rows[lo, hi]
+
     def _bm25_of(self, lo: int, hi: int) -> sparse.Bm25Index:
         """Statistics cover the distinct texts valid in the range, never the whole store."""
         if (lo, hi) not in self._bm25:
-            ids = lineage.between(self.table("rows"), lo, hi).select("snippet_id").distinct()
+            ids = self._rows_of(lo, hi).select("snippet_id").distinct()
             self._bm25[lo, hi] = sparse.build(self.table("texts").join(ids, "snippet_id", "left_semi"), "vector_id", "text")
         return self._bm25[lo, hi]
 
@@ -316,7 +342,7 @@ class VersionedIndex:
         """
         lo, hi, multi = self.range(as_of, between)
         grouped = multi if group_by_lineage is None else group_by_lineage
-        rows = self._labelled(lineage.between(self.table("rows"), lo, hi)).withColumn("vector_id", vector_id(F.col("snippet_id")))
+        rows = self._rows_of(lo, hi)
         pool = dense.allowed(self.table("texts").select(F.col("vector_id").alias("id"), "v"), rows.select(F.col("vector_id").alias("id")))
         size = rows.select("vector_id").distinct().count()
         ask = self.embed(queries.select(F.col("query_id").alias("id"), "text"), "id", "text")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from skein import session
 from skein.catalog import retrieval, versions
 from skein.operators import dense, lineage, ranking, sparse
+from skein.plans import store
 
 
 def test_best_of_blocks_with_ties():
@@ -106,3 +107,22 @@ def test_lists_keep_no_texts(spark, monkeypatch):
     monkeypatch.setattr(versions, "written", lambda df, name: made.append((name, df.columns)) or keep(df, name))
     versions.search_hits(spark, "/root/testdata/sf0.001")
     assert [n for n, _ in made].count("rows") == 1 and not [n for n, c in made if "text" in c and n != "asks"]
+
+
+def test_store_fetches_new_texts_only(spark, tmp_path):
+    """Records come without text; a later version asks only for texts that the store lacks, and merges only the states
+    of rows in files that changed."""
+    kind = "file_path string, qualname string, ordinal int, kind string, language string, line_start int, line_end int, snippet_id string"
+    made = lambda ids: spark.createDataFrame([(f, "f", 0, "function", "python", 1, 2, i) for f, i in ids.items()], kind)
+    hashes = lambda ids: spark.createDataFrame(list(ids.items()), "file_path string, file_hash string")
+    texts = lambda *ids: spark.createDataFrame([(i, f"text {i}") for i in ids], "snippet_id string, text string")
+    a, b, c = (x * 16 for x in "abc")
+    ix = store.VersionedIndex(spark, str(tmp_path / "s"))
+    first, second = {"x.py": a, "y.py": b, "z.py": "d" * 16}, {"x.py": a, "y.py": c, "z.py": "e" * 16}
+    ix.index_snippets(hashes(first), lambda p: made(first).join(p, "file_path", "left_semi"), "v1", texts=texts(a, b))
+    stats = ix.index_snippets(hashes(second), lambda p: made(second).join(p, "file_path", "left_semi"), "v2", texts=texts(c))
+    assert (stats.files_changed, stats.texts_embedded, stats.counts["modified"], stats.counts["unchanged"]) == (2, 2, 2, 1)
+    want = {a: f"text {a}", b: f"text {b}", c: f"text {c}", "d" * 16: None, "e" * 16: None}
+    assert {r["snippet_id"]: r["text"] for r in ix.table("texts").collect()} == want
+    only = ix.table("rows", spark.createDataFrame([("y.py",)], "file_path string")).collect()
+    assert sorted((r["snippet_id"], r["seq_removed"]) for r in only) == [(b, 2), (c, None)]
