@@ -100,14 +100,25 @@ class VersionedIndex:
         return None
 
     def _publish(self, replace: dict[str, DataFrame] | None = None, append: dict[str, DataFrame] | None = None, **meta) -> None:
-        """Write tables, anew or as further parts, and make them the store's state by one rename."""
+        """Write tables, anew or as further parts, and make them the store's state by one rename.
+
+        A table may be a function that makes it, or None where there is nothing to write.
+        """
         step = max([self.manifest["step"], *self._steps()[:1]]) + 1
         new = {**self.manifest, **meta, "step": step, "tables": dict(self.manifest["tables"])}
-        for name in (*(replace or {}), *(append or {})):
+
+        def put(name: str, made: DataFrame | Callable[[], DataFrame | None]) -> str | None:
+            df = made if isinstance(made, DataFrame) else made()
+            if df is None:
+                return None
+            self._write(name, df, f"step-{step}/{name}")
+            return name
+
+        with shuffles_dropped(self.spark), ThreadPoolExecutor(5) as pool:  # the tables of a step don't depend on each other
+            there = list(pool.map(lambda x: put(*x), [*(replace or {}).items(), *(append or {}).items()]))
+        for name in filter(None, there):
             before = [] if name in (replace or {}) else new["tables"].get(name, [])
             new["tables"][name] = [*before, f"step-{step}/{name}"]
-        with shuffles_dropped(self.spark), ThreadPoolExecutor(5) as pool:  # the tables of a step don't depend on each other
-            list(pool.map(lambda x: self._write(x[0], x[1], f"step-{step}/{x[0]}"), [*(replace or {}).items(), *(append or {}).items()]))
         tmp, final = self._p(f"manifest-{step}.tmp"), self._p(f"manifest-{step}.json")
         out = self._fs.create(tmp, True)
         out.write(bytearray(json.dumps(new).encode()))
@@ -240,16 +251,18 @@ class VersionedIndex:
         sent = lambda df, n: F.broadcast(df) if n <= SENT else df
         try:
             with phase("scan"):
-                changed = keep(changed_files(self.table("files"), files).join(files.select("file_path", "file_hash"), "file_path", "left"))
+                changed = keep(changed_files(self.table("files"), files, with_hash=True))
                 n = {r["change"]: r["count"] for r in changed.groupBy("change").count().collect()}
                 stats.files_changed = sum(n.values())
                 stats.files_parsed = stats.files_changed - n.get("removed", 0)
                 stats.files_total = self.manifest.get("n_files", 0) + n.get("new", 0) - n.get("removed", 0)
             with phase("parse"):
                 parsed = sent(changed.where("change <> 'removed'").select("file_path"), stats.files_parsed)
-                new = keep(snippets(parsed).select(*key, "kind", "language", "line_start", "line_end", "snippet_id", *(["text"] if texts is None else [])))
-                affected = keep(self.table("rows", sent(changed.select("file_path"), stats.files_changed)).where("seq_removed is null"))
-                n_new, n_affected = new.count(), affected.count()
+                new = snippets(parsed).select(*key, "kind", "language", "line_start", "line_end", "snippet_id", *(["text"] if texts is None else []))
+                affected = self.table("rows", sent(changed.select("file_path"), stats.files_changed)).where("seq_removed is null")
+                with ThreadPoolExecutor(2) as pool:
+                    new, affected = pool.map(keep, (new, affected))
+                    n_new, n_affected = pool.map(lambda x: x.count(), (new, affected))
                 few = n_new + n_affected <= LARGEST
             with phase("diff"):
                 d = keep(diff.diff_snippets(affected, new, few=few))
@@ -275,29 +288,35 @@ class VersionedIndex:
                 ).select(cols)
                 n_opened = counts["added"] + counts["modified"] + counts["moved"]
                 links = d.where("change_class = 'modified'").select("old_snippet_id", "new_snippet_id", F.col("new_file_path").alias("file_path"), F.col("new_qualname").alias("qualname"), F.lit(version).alias("version"))
-            with phase("embed"):
-                want = d.where("change_class in ('added', 'modified') and new_snippet_id is not null").select(F.col("new_snippet_id").alias("snippet_id")).distinct()
-                want = want.join(self.table("texts").select("snippet_id"), "snippet_id", "left_anti")
-                if texts is None:
-                    fresh = new.select("snippet_id", "text").join(want, "snippet_id", "left_semi")
-                else:
-                    want = keep(want)
-                    fresh = want.join(texts.join(F.broadcast(want), "snippet_id", "left_semi") if n_opened <= SENT else texts, "snippet_id", "left").select("snippet_id", "text")
-                fresh = keep(fresh.dropDuplicates(["snippet_id"]))
-                stats.texts_embedded = fresh.count()
-                made = fresh if stats.texts_embedded else fresh.limit(0)
-                vec = self.embed(made, "snippet_id", "text").select(F.col("id").alias("snippet_id"), F.col("v").cast("array<double>").alias("v"))
-                stored = fresh.join(vec, "snippet_id").select("snippet_id", vector_id(F.col("snippet_id")).alias("vector_id"), "text", "v")
+
+            def embedded() -> DataFrame | None:
+                """New texts with their vectors; rows, listing and links are written meanwhile."""
+                with phase("embed"):
+                    want = d.where("change_class in ('added', 'modified') and new_snippet_id is not null").select(F.col("new_snippet_id").alias("snippet_id")).distinct()
+                    want = want.join(self.table("texts").select("snippet_id"), "snippet_id", "left_anti")
+                    if texts is None:
+                        fresh = new.select("snippet_id", "text").join(want, "snippet_id", "left_semi")
+                    else:
+                        want = keep(want)
+                        fresh = want.join(texts.join(F.broadcast(want), "snippet_id", "left_semi") if n_opened <= SENT else texts, "snippet_id", "left").select("snippet_id", "text")
+                    fresh = keep(fresh.dropDuplicates(["snippet_id"]))
+                    stats.texts_embedded = fresh.count()
+                    made = fresh if stats.texts_embedded else fresh.limit(0)
+                    vec = self.embed(made, "snippet_id", "text").select(F.col("id").alias("snippet_id"), F.col("v").cast("array<double>").alias("v"))
+                    stored = fresh.join(vec, "snippet_id").select("snippet_id", vector_id(F.col("snippet_id")).alias("vector_id"), "text", "v")
+                return stored if stats.texts_embedded or seq == 1 else None
+
             with phase("write"):
                 row = self.spark.createDataFrame([(seq, version, indexed_at, stats.files_total, stats.snippets_total, json.dumps(counts))], SCHEMAS["versions"])
                 listed = changed.select("file_path", F.when(F.col("change") != "removed", F.col("file_hash")).alias("file_hash"))
                 at = F.lit(seq).alias("at")
                 parts = {"rows": gone.unionByName(shifted).unionByName(opened).select("*", at), "files": listed.select("*", at), "versions": row}
-                parts |= {"texts": stored} if stats.texts_embedded or seq == 1 else {}
                 parts |= {"links": links} if counts["modified"] or seq == 1 else {}
                 # a handful of rows makes one file; a first load keeps its partitions
-                parts = {k: v.coalesce(1) if stats.files_changed < 1000 and k != "texts" else v for k, v in parts.items()}
+                parts = {k: v.coalesce(1) if stats.files_changed < 1000 else v for k, v in parts.items()} | {"texts": embedded}
                 self._publish(append=parts, seq=seq, n_files=stats.files_total, n_snippets=stats.snippets_total, last_row_id=base + n_opened)
+            # embedding has its own line
+            stats.seconds["write"] = round(max(0.0, stats.seconds["write"] - stats.seconds["embed"]), 3)
         finally:
             self._fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(tmp), True)
         return stats

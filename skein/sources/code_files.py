@@ -49,12 +49,13 @@ def timeline(spark: SparkSession, base: str, overlays: str) -> Iterator[tuple[st
         yield name, overlay(layers, i)
 
 
-def changed_files(known: DataFrame, now: DataFrame, group: list[str] | None = None) -> DataFrame:
+def changed_files(known: DataFrame, now: DataFrame, group: list[str] | None = None, with_hash: bool = False) -> DataFrame:
     """``file_path, change`` (new, edited, removed) between two listings of ``file_path, file_hash``; ``group`` columns keep
-    listings apart and come first."""
+    listings apart and come first. ``with_hash`` adds ``file_hash``, that of ``now``."""
     group = group or []
     k = known.select(*group, "file_path", F.col("file_hash").alias("old"), F.lit(1).alias("o"))
     n = now.select(*group, "file_path", F.col("file_hash").alias("new"), F.lit(1).alias("n"))
     both = k.join(n, [*group, "file_path"], "full_outer")
     change = F.when(F.col("o").isNull(), "new").when(F.col("n").isNull(), "removed").when(~F.col("old").eqNullSafe(F.col("new")), "edited")
-    return both.select(*group, "file_path", change.alias("change")).where("change is not null")
+    more = [F.col("new").alias("file_hash")] if with_hash else []
+    return both.select(*group, "file_path", change.alias("change"), *more).where("change is not null")
